@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import HOURLY_SQL, PANEL, PANEL_SQL, hourly, panel, query, rounded, revenue, ONE
+from catalog.base import PANEL, PANEL_SQL, hourly, panel, query, rounded, revenue
 from seriesloom.forecast import arima, baseline, decomposable, tree
 from seriesloom.functions.features import tree_features
-from seriesloom.operators.metrics import align_actual_pred
 from seriesloom.operators.exog import carry_exog
-from seriesloom.operators.ranking import rank_models
+from seriesloom.operators.series import row_positions
 from seriesloom.operators.splits import split_ratio
 from seriesloom.plans.backtest import backtest_baselines
 from seriesloom.session import materialize
@@ -122,7 +121,8 @@ def _(spark, sf):
 
 def tree_table(spark, sf):
     """Features of the whole panel, built before the split."""
-    return materialize(split_ratio(tree_features(panel(spark, sf), PANEL), PANEL))
+    rows = materialize(row_positions(panel(spark, sf), PANEL))
+    return materialize(split_ratio(tree_features(rows, PANEL), PANEL))
 
 
 @query("train_gbt")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from seriesloom.functions.linalg import gram, least_squares, square
 from seriesloom.operators.clean import add_steps
 from seriesloom.operators.index import IDX, LEN, OWN, BLK, block_window, halo_blocks, order_series
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import attach, series_join
 from seriesloom.operators.profile import present
 from seriesloom.operators.stationarity import stationarity_kpss
 from seriesloom.functions.features import diff_regular
@@ -53,6 +53,11 @@ class ArimaConfig:
         return (self.period or ARIMA_PERIODS.get(freq, 7)) if self.seasonal else 1
 
 
+def field_of(array: str, name: str):
+    """One field of every struct in an array."""
+    return F.transform(array, lambda s: s[name])
+
+
 def _candidates(cfg: ArimaConfig) -> list[tuple[int, int, int, int]]:
     if not cfg.auto:
         return [(cfg.p, cfg.q, cfg.sp if cfg.seasonal else 0, cfg.sq if cfg.seasonal else 0)]
@@ -67,7 +72,7 @@ def difference_order(df: DataFrame, spec: SeriesSpec, max_d: int = 2) -> DataFra
     current, cspec = present(df, spec).select(*spec.by, spec.ts, *spec.tie, F.col(spec.y).cast("double").alias("_y0")), spec.with_target("_y0")
     for d in range(max_d):
         test = stationarity_kpss(current, cspec).select(*spec.by, F.when(F.col("kpss_stationary"), d).alias(f"_d{d}"))
-        order = test if order is None else attach(order, test, spec.by)
+        order = test if order is None else series_join(order, test, spec.by)
         if d + 1 < max_d:
             step = diff_regular(current, cspec).select(*spec.by, spec.ts, *spec.tie, F.col(f"{cspec.y}_diff_1").alias(f"_y{d + 1}"))
             current, cspec = materialize(present(step, cspec.with_target(f"_y{d + 1}"))), cspec.with_target(f"_y{d + 1}")
@@ -171,7 +176,7 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
         F.sort_array(F.collect_list(F.struct(IDX, F.col(spec.y).alias("y"), F.col("_w").alias("w"), F.col("_e").alias("e")))).alias("_t"),
         F.max("d").alias("d"), F.max(spec.ts).alias("_last"),
     )
-    state = attach(tail, chosen, spec.by)
+    state = series_join(tail, chosen, spec.by)
     z = NormalDist().inv_cdf(0.5 + cfg.level / 2)
 
     @F.pandas_udf("array<struct<h int, yhat double, lo double, hi double>>")
@@ -183,7 +188,7 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
                                 fit["kinds"].iloc[i], fit["sigma2"].iloc[i], horizon, z))
         return pd.Series(out)
 
-    column = {c: F.transform("_t", lambda s, c=c: s[c]) for c in ("y", "w", "e")}
+    column = {c: field_of("_t", c) for c in ("y", "w", "e")}
     paths = state.select(*spec.by, "_last", "d", "_f", F.explode(project(column["y"], column["w"], column["e"], F.col("d"), F.col("_f"))).alias("_p"))
     order = F.when(F.col("_f.p").isNotNull(), F.format_string("(%d,%d,%d)(%d,%d,%d,%d)", F.col("_f.p"), F.col("d"), F.col("_f.q"),
                                                               F.col("_f.sp"), F.lit(sd), F.col("_f.sq"), F.lit(m)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.clean import add_steps
 from seriesloom.operators.index import IDX, LEN, order_series
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import keyed_join, series_join, side_join
 from seriesloom.operators.profile import present
 from seriesloom.spec import SeriesSpec
 
@@ -55,15 +55,15 @@ def seasonal_state(df: DataFrame, spec: SeriesSpec, period: int = 7) -> DataFram
 def fc_naive(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", grid: DataFrame | None = None) -> DataFrame:
     """The last value, repeated. ``grid`` replaces the default future dates (columns h, ts)."""
     grid = grid if grid is not None else future_dates(df, spec, horizon, freq)
-    return attach(grid, naive_state(df, spec), spec.by)
+    return series_join(grid, naive_state(df, spec), spec.by)
 
 
 def tile_state(state: DataFrame, grid: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Repeat the kept values over the grid, cycling over as many as there are."""
     sizes = state.groupBy(*spec.by).agg(F.max("m").alias("_m"))
-    placed = attach(grid, sizes, spec.by).withColumn("pos", ((F.col("h") - 1) % F.col("_m")).cast("int")).drop("_m")
+    placed = series_join(grid, sizes, spec.by).withColumn("pos", ((F.col("h") - 1) % F.col("_m")).cast("int")).drop("_m")
     values = state.select(*spec.by, "pos", F.col(spec.y).cast("double").alias("yhat"))
-    return keyed_join(placed, values, [*spec.by, "pos"]).drop("pos")
+    return side_join(placed, values, [*spec.by, "pos"]).drop("pos")
 
 
 def fc_seasonal_naive(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", period: int = 7,
@@ -77,7 +77,7 @@ def fc_moving_average(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq:
     """Mean of the last ``window`` values, repeated."""
     grid = grid if grid is not None else future_dates(df, spec, horizon, freq)
     mean = last_rows(present(df, spec), spec, window).groupBy(*spec.by).agg(F.avg(spec.y).alias("yhat"))
-    return attach(grid, mean, spec.by)
+    return series_join(grid, mean, spec.by)
 
 
 def state_update(state: DataFrame, new: DataFrame, spec: SeriesSpec, period: int = 1) -> DataFrame:
@@ -90,7 +90,7 @@ def state_update(state: DataFrame, new: DataFrame, spec: SeriesSpec, period: int
 def fc_intervals(forecast: DataFrame, history: DataFrame, spec: SeriesSpec, z: float = Z95) -> DataFrame:
     """A band of ``z`` sample deviations of the history around the forecast."""
     sd = history.groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
-    out = attach(forecast, sd, spec.by)
+    out = series_join(forecast, sd, spec.by)
     return out.withColumn("lo95", F.col("yhat") - z * F.col("_sd")).withColumn("hi95", F.col("yhat") + z * F.col("_sd")).drop("_sd")
 
 
@@ -98,7 +98,7 @@ def fc_intervals_multi(forecast: DataFrame, history: DataFrame, spec: SeriesSpec
     """One row per forecast and level, with ``level``, ``lo`` and ``hi``."""
     sd = history.groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
     table = F.array(*[F.struct(F.lit(float(p)).alias("level"), F.lit(NormalDist().inv_cdf(0.5 + p / 2)).alias("z")) for p in levels])
-    out = attach(forecast, sd, spec.by).withColumn("_z", F.explode(table))
+    out = series_join(forecast, sd, spec.by).withColumn("_z", F.explode(table))
     half = F.col("_z.z") * F.col("_sd")
     return out.select("*", F.col("_z.level").alias("level"), (F.col("yhat") - half).alias("lo"), (F.col("yhat") + half).alias("hi")).drop("_z", "_sd")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.linalg import gram, least_squares, square
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import attach, series_join
 from seriesloom.operators.profile import present
 from seriesloom.operators.series import micros, modal_step
 from seriesloom.session import materialize
@@ -78,7 +78,7 @@ def fit_decomposable(df: DataFrame, spec: SeriesSpec, cfg: DecomposableConfig =
         F.greatest(F.max(F.abs(y)), F.lit(1e-12)).alias("_scale"),
         *[F.avg(c).alias(f"_mu_{c}") for c in cfg.regressors], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cfg.regressors],
     )
-    stats = attach(stats, modal_step(rows, spec), spec.by)
+    stats = series_join(stats, modal_step(rows, spec), spec.by)
     days = (F.col("_b") - F.col("_a")) / F.lit(86400e6)
     yearly = (days >= 365) if cfg.yearly is None else F.lit(cfg.yearly)
     weekly = ((days >= 14) & (F.col("step_seconds") < 7 * 86400)) if cfg.weekly is None else F.lit(cfg.weekly)
@@ -106,7 +106,7 @@ def fit_decomposable(df: DataFrame, spec: SeriesSpec, cfg: DecomposableConfig =
         return pd.DataFrame(out, columns=["beta", "sigma"])
 
     fits = sums.select(*spec.by, solve("gram", "n").alias("_f")).select(*spec.by, "_f.beta", "_f.sigma")
-    return materialize(attach(stats, fits, spec.by))
+    return materialize(series_join(stats, fits, spec.by))
 
 
 def predict_decomposable(fits: DataFrame, grid: DataFrame, spec: SeriesSpec, cfg: DecomposableConfig = DecomposableConfig()) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from seriesloom.forecast.baseline import last_rows
 from seriesloom.functions.features import ewm_reach, target_delta, tree_date_features
 from seriesloom.operators.clean import add_steps
-from seriesloom.operators.joins import attach
+from seriesloom.operators.index import IDX, LEN
+from seriesloom.operators.joins import attach, series_join
 from seriesloom.operators.profile import present
 from seriesloom.session import ensure_checkpoint_dir, materialize
 from seriesloom.spec import SeriesSpec
@@ -43,7 +44,9 @@ class TreeModel:
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """Adds ``pred``, on the level of the target."""
-        ready = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="skip").transform(rows)
+        # Rows without all features are expected to be gone; a filter here would be pushed down
+        # through every earlier step of a recursive forecast and compute it again.
+        ready = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(rows)
         out = self.model.transform(ready)
         level = F.col("prediction") + F.col("lag_1") if self.delta else F.col("prediction")
         return out.withColumn("pred", level).drop("_x", "prediction")
@@ -52,7 +55,7 @@ class TreeModel:
 def usable_features(df: DataFrame, spec: SeriesSpec, skip: Sequence[str] = ()) -> list[str]:
     """Numeric and boolean columns but the target, dates, keys and ``skip``."""
     kinds = (T.NumericType, T.BooleanType)
-    barred = {spec.y, spec.ts, "date", *spec.by, *spec.tie, *skip}
+    barred = {spec.y, spec.ts, "date", "h", IDX, LEN, *spec.by, *spec.tie, *skip}
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in barred and not f.name.endswith("_date")]
 
 
@@ -106,19 +109,22 @@ def feature_importance(model: TreeModel, spark) -> DataFrame:
 
 def backtest_tree(model: TreeModel, features: DataFrame, spec: SeriesSpec, split: str = "split") -> DataFrame:
     """One-step predictions of the test rows, from the features of the whole series."""
-    rows = features.filter(F.col(split) == "test")
+    rows = features.filter(F.col(split) == "test").na.drop(subset=[c for c in model.features if c in features.columns])
     if model.levels is not None:
         rows = attach(rows, model.levels, spec.by)
     return model.apply(rows).select(*spec.by, spec.ts, F.col(spec.y).cast("double").alias("actual"), "pred")
 
 
+def _squares_around(values: Column, mean: Column) -> Column:
+    return F.aggregate(F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
+
+
 def _tail_columns(tail: Column, lags: Sequence[int], windows: Sequence[int], span: int | None) -> dict[str, Column]:
     out = {f"lag_{k}": F.try_element_at(tail, F.lit(-k)) for k in lags}
     for n in windows:
         part = F.slice(tail, -n, n)
         mean = F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / n
-        dev = F.aggregate(F.transform(part, lambda v, m=mean: (v - m) * (v - m)), F.lit(0.0), lambda a, v: a + v) / (n - 1)
-        out[f"rolling_mean_{n}"], out[f"rolling_std_{n}"] = mean, F.sqrt(dev)
+        out[f"rolling_mean_{n}"], out[f"rolling_std_{n}"] = mean, F.sqrt(_squares_around(part, mean) / (n - 1))
     if span:
         r = 1 - 2 / (span + 1)
         newest = F.reverse(tail)
@@ -145,10 +151,10 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
         F.transform(order, lambda s: s["v"]).alias("_tail"), F.max(spec.ts).alias("_last")
     ).filter(F.size("_tail") >= deepest)
     if model.levels is not None:
-        state = attach(state, model.levels, spec.by)
+        state = series_join(state, model.levels, spec.by)
     if model.exog:
         steps = exog.groupBy(*spec.by).agg(F.sort_array(F.collect_list(F.struct("h", *model.exog))).alias("_exog"))
-        state = attach(state, steps, spec.by)
+        state = series_join(state, steps, spec.by)
     state = state.withColumn("_path", F.array().cast("array<struct<h:int,ts:timestamp_ntz,yhat:double>>"))
     state = materialize(state)
     kept = state.columns

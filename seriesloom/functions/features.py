@@ -7,7 +7,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seriesloom.operators.index import BLK, IDX, LEN, OWN, halo_blocks, order_series, windowed
+from seriesloom.operators.index import BLK, IDX, LEN, OWN, halo_blocks, indexed_rows, windowed
 from seriesloom.operators.joins import attach, keyed_join
 from seriesloom.operators.series import modal_step
 from seriesloom.spec import SeriesSpec
@@ -69,15 +69,20 @@ def _ewm_columns(spec: SeriesSpec, span: float, reach: int) -> tuple[Column, Col
     return F.sum(y * weight).over(w), F.sum(F.when(y.isNotNull(), weight)).over(w)
 
 
+def _made_here(df: DataFrame) -> list[str]:
+    """Index columns to drop again, unless the input brought them."""
+    return [] if IDX in df.columns else [IDX, LEN]
+
+
 def ewm_feature(df: DataFrame, spec: SeriesSpec, span: int = 7, out: str | None = None) -> DataFrame:
     """Exponentially weighted mean of the previous rows, with adjusted weights."""
     reach = ewm_reach(span)
-    rows = order_series(df, spec).indexed()
+    rows = indexed_rows(df, spec)
     blocks = halo_blocks(rows, back=reach, block=reach)
     num, den = _ewm_columns(spec, span, reach)
     return (
         blocks.select("*", (num / den).alias(out or f"ewm_{span}"))
-        .filter(F.col(OWN)).drop(BLK, OWN, IDX, LEN)
+        .filter(F.col(OWN)).drop(BLK, OWN, *_made_here(df))
     )
 
 
@@ -162,7 +167,7 @@ def tree_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1, 7,
                   windows: Sequence[int] = (7, 14, 30), span: int | None = 7) -> DataFrame:
     """All tree features in one pass over the ordered rows, before any split."""
     reach = ewm_reach(span) if span else 1
-    rows = order_series(df, spec).indexed()
+    rows = indexed_rows(df, spec)
     size = max(reach, *lags, *windows)
     blocks = halo_blocks(rows, back=size, block=size if span else None)
     w = W.partitionBy(*spec.by, BLK).orderBy(IDX)
@@ -172,5 +177,5 @@ def tree_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1, 7,
     if span:
         num, den = _ewm_columns(spec, span, size)
         exprs[f"ewm_{span}"] = num / den
-    out = blocks.select("*", *[e.alias(n) for n, e in exprs.items()]).filter(F.col(OWN)).drop(BLK, OWN, IDX, LEN)
+    out = blocks.select("*", *[e.alias(n) for n, e in exprs.items()]).filter(F.col(OWN)).drop(BLK, OWN, *_made_here(df))
     return tree_date_features(out, spec.ts)

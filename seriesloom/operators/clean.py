@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.index import IDX, POS, SEG, order_series
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import attach, keyed_join, series_join, side_join
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.operators.series import NTZ, dedupe_keep_last, micros, modal_step
 from seriesloom.spec import SeriesSpec
@@ -109,7 +109,7 @@ def date_gaps(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame:
         "expected_points",
         (F.col("expected_points") - F.col("_on")).alias("missing_points"),
     )
-    return attach(out, modal_step(df, spec).withColumnRenamed("step_seconds", "mode_step_seconds"), spec.by)
+    return series_join(out, modal_step(df, spec).withColumnRenamed("step_seconds", "mode_step_seconds"), spec.by)
 
 
 def absent_dates(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame:
@@ -140,7 +140,7 @@ def fill_ordered(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], method
     key = spec.by or [F.lit(0)]
     before = W.partitionBy(*key).orderBy(SEG).rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy(*key).orderBy(SEG).rowsBetween(1, W.unboundedFollowing)
-    placed = keyed_join(summary, ordered.segs, [*spec.by, SEG], "inner")
+    placed = side_join(summary, ordered.segs, [*spec.by, SEG], "inner")
 
     def at(prefix: str, c: str) -> Column:
         s = F.col(f"{prefix}_{c}")

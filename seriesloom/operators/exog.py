@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.operators.clean import fill_backward, fill_forward
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import attach, keyed_join, series_join, side_join
 from seriesloom.spec import SeriesSpec
 
 
@@ -44,10 +44,10 @@ def carry_exog(history: DataFrame, grid: DataFrame, spec: SeriesSpec, columns: S
     weekday = history.groupBy(*spec.by, F.weekday(spec.ts).alias("_dow")).agg(F.max(F.struct(spec.ts, values)).alias("_b"))
     weekday = weekday.select(*spec.by, "_dow", F.col("_b._x").alias("_x2"))
     last = history.groupBy(*spec.by).agg(F.max(F.struct(spec.ts, values)).alias("_b")).select(*spec.by, F.col("_b._x").alias("_x3"))
-    out = keyed_join(grid, nearest, [*spec.by, spec.ts])
-    out = keyed_join(out.withColumn("_dow", F.weekday(spec.ts)), weekday, [*spec.by, "_dow"])
+    out = side_join(grid, nearest, [*spec.by, spec.ts])
+    out = side_join(out.withColumn("_dow", F.weekday(spec.ts)), weekday, [*spec.by, "_dow"])
     if spec.by:
-        out = attach(out, last, spec.by)
+        out = series_join(out, last, spec.by)
         pick = F.coalesce("_x1", "_x2", "_x3")
     else:
         row = last.first()
@@ -63,5 +63,5 @@ def last_value_exog(history: DataFrame, grid: DataFrame, spec: SeriesSpec, colum
     if known:
         order = F.struct(spec.ts, *spec.tie)
         last = history.groupBy(*spec.by).agg(*[F.max_by(c, order).alias(c) for c in known])
-        out = attach(grid, last, spec.by)
+        out = series_join(grid, last, spec.by)
     return out.select(*grid.columns, *[F.col(c) if c in known else F.lit(0.0).alias(c) for c in columns])

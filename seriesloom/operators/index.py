@@ -10,6 +10,7 @@ padded with copies of the neighbouring rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -29,9 +30,18 @@ class Ordered:
     """Rows in series order, held in range segments, with a summary per segment."""
 
     rows: DataFrame
-    segs: DataFrame
     by: list[str]
 
+    @cached_property
+    def segs(self) -> DataFrame:
+        """Per series at most one row per range partition: where its rows start, and how many precede them."""
+        per_seg = self.rows.groupBy(*self.by, SEG).agg(F.min(POS).alias("_start"), F.count(F.lit(1)).alias("_n"))
+        whole = W.partitionBy(*(self.by or [F.lit(0)]))
+        before = whole.orderBy(SEG).rowsBetween(W.unboundedPreceding, 0)
+        return materialize(
+            per_seg.withColumn("_off", F.sum("_n").over(before) - F.col("_n")).withColumn(LEN, F.sum("_n").over(whole))
+        )
+
     def indexed(self) -> DataFrame:
         """Rows with their 0-based position ``_idx`` and the series length ``_len``."""
         out = keyed_join(self.rows, self.segs, [*self.by, SEG], "inner")
@@ -58,14 +68,7 @@ def order_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
         .withColumn(POS, F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_mid")
     )
-    per_seg = rows.groupBy(*by, SEG).agg(F.min(POS).alias("_start"), F.count(F.lit(1)).alias("_n"))
-    # Per series this summary has at most one row per range partition.
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(SEG)
-    whole = W.partitionBy(*(by or [F.lit(0)]))
-    segs = per_seg.withColumn(
-        "_off", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    ).withColumn(LEN, F.sum("_n").over(whole))
-    return Ordered(rows, segs, by)
+    return Ordered(rows, by)
 
 
 def order_series(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None,
@@ -85,6 +88,14 @@ def order_series(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None
     return ordered
 
 
+def indexed_rows(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows with ``_idx`` and ``_len``. A frame that carries them already is not ordered again,
+    so one ordering can serve many operators; it may also be a run of rows of each series."""
+    if IDX in df.columns and LEN in df.columns:
+        return df.select(*dict.fromkeys([*spec.by, spec.ts, *spec.tie, *columns, IDX, LEN])) if columns else df
+    return order_series(df, spec, columns).indexed()
+
+
 def halo_blocks(indexed: DataFrame, back: int, ahead: int = 0, block: int | None = None) -> DataFrame:
     """Copy rows near a block border into the neighbouring block.
 
@@ -122,7 +133,8 @@ def windowed(df: DataFrame, spec: SeriesSpec, make: Callable[[object], dict[str,
 
     ``make(window)`` gives the new columns for a window ordered inside one block.
     """
-    rows = order_series(df, spec, columns).indexed()
+    keep_index = keep_index or IDX in df.columns
+    rows = indexed_rows(df, spec, columns)
     blocks = halo_blocks(rows, back, ahead, block)
     exprs = make(block_window(spec.by))
     out = blocks.select("*", *[e.alias(n) for n, e in exprs.items()]).filter(F.col(OWN)).drop(BLK, OWN)

@@ -5,45 +5,31 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from seriesloom.session import materialize
+from seriesloom.session import materialize, written_bytes
 
 #: Largest measured size, in bytes, of a table that may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Rough in-memory size of a materialised table, from one narrow aggregate."""
-    fixed = 16
-    sizes = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            sizes.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long"))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            sizes.append(F.greatest(F.size(F.col(f.name)), F.lit(0)).cast("long") * 16)
-        fixed += 16
-    per_row = reduce(lambda a, b: a + b, sizes, F.lit(fixed).cast("long"))
-    return int(df.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0])
-
-
 def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a table of measured size on null-safe keys.
 
-    ``small`` is written out and measured first. Within ``limit`` it is broadcast,
+    ``small`` is written out and measured first, unless it has been already. Within ``limit`` it is broadcast,
     so ``big`` is not shuffled at all. Beyond it both sides are shuffled, with an
     exchange of its own under ``small`` so that adaptive execution may split a hot key.
     """
-    small = materialize(small)
+    if written_bytes(small) is None:
+        small = materialize(small)
     keys = list(keys)
     if not keys:
         raise ValueError("keyed_join needs at least one key; use attach() for one-row tables")
     renamed = small.select(
-        *[F.col(k).alias(f"_jk_{k}") for k in keys],
-        *[F.col(c) for c in small.columns if c not in keys],
+        *[F.col(k).alias(f"_jk_{k}") for k in keys], *[F.col(c) for c in small.columns if c not in keys]
     )
-    if measured_bytes(small) <= limit:
+    if written_bytes(small) <= limit:
         renamed = F.broadcast(renamed)
     else:
         renamed = renamed.repartition(*[f"_jk_{k}" for k in keys])
@@ -52,6 +38,23 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"_jk_{k}" for k in keys])
 
 
+def side_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe join of two tables with few rows per key (statistics, grids, summaries).
+
+    No key is hot on either side, so the choice of join is left to Spark.
+    """
+    other = right.select(
+        *[F.col(k).alias(f"_jk_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys]
+    )
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_jk_{k}"]) for k in keys])
+    return left.join(other, cond, how).drop(*[f"_jk_{k}" for k in keys])
+
+
+def series_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """``side_join`` on the series key; without a group the one row of ``right`` becomes literals."""
+    return side_join(left, right, by, how) if by else attach(left, right, by, how)
+
+
 def attach(big: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Add the columns of a one-row-per-series table to every row of the series.
 

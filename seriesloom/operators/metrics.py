@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.operators.index import windowed
-from seriesloom.operators.joins import keyed_join
+from seriesloom.operators.joins import side_join
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.spec import SeriesSpec
 
@@ -94,7 +94,7 @@ def metric_mase(df: DataFrame, train: DataFrame, spec: SeriesSpec, by: Sequence[
 def _with_mase(scores: DataFrame, train: DataFrame, spec: SeriesSpec) -> DataFrame:
     scale = naive_scale(train, spec)
     if spec.by:
-        out = keyed_join(scores, scale, spec.by)
+        out = side_join(scores, scale, spec.by)
     else:
         row = scale.first()
         out = scores.withColumn("naive_error", F.lit(row[0] if row else None).cast("double"))
@@ -119,4 +119,4 @@ def score(df: DataFrame, train: DataFrame, spec: SeriesSpec, by: Sequence[str])
         F.count(F.lit(1)).alias("n"), mae_expr().alias("mae"), rmse_expr().alias("rmse"), mape_expr().alias("mape"),
         smape_expr().alias("smape"), r2_expr().alias("r2"),
     )
-    return _with_mase(keyed_join(flat, metric_medae(df, by), by), train, spec).select(*by, "n", *METRICS)
+    return _with_mase(side_join(flat, metric_medae(df, by), by), train, spec).select(*by, "n", *METRICS)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import attach, series_join
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
@@ -111,7 +111,7 @@ def outlier_isolation_forest(df: DataFrame, spec: SeriesSpec, contamination: flo
     # One copy of the step function per block of rows; rows choose a block by their draw.
     blocks = F.floor((F.col("_cnt") - 1) / F.lit(_ROWS_PER_TASK)) + 1
     scored_rows = rows.filter(ok).withColumn("_slot", F.floor(F.col("_draw") * blocks).cast("long"))
-    per_series = attach(forest, sizes, spec.by)
+    per_series = series_join(forest, sizes, spec.by)
     copies = per_series.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double"
     columns = list(df.columns)

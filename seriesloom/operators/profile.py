@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.clean import missing_summary
 from seriesloom.operators.index import IDX, LEN, order_series
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import attach, series_join, side_join
 from seriesloom.operators.outliers import iqr_bounds
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.operators.series import frequency_code, modal_step
@@ -23,7 +23,7 @@ def present(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def merge_stats(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Put two one-row-per-series tables side by side."""
-    return attach(left, right, by)
+    return series_join(left, right, by)
 
 
 def date_range_freq(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -100,7 +100,7 @@ def histogram30(df: DataFrame, spec: SeriesSpec, bins: int = 30) -> DataFrame:
     at = F.least(F.floor((F.col("_v") - F.col("_a")) / width), F.lit(bins - 1)).cast("int")
     counts = placed.groupBy(*spec.by, at.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     frame = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = keyed_join(frame, counts, [*spec.by, "bin"])
+    out = side_join(frame, counts, [*spec.by, "bin"])
     return out.select(*spec.by, "bin", (F.col("_a") + F.col("bin") * width).alias("bin_start"),
                       (F.col("_a") + (F.col("bin") + 1) * width).alias("bin_end"), F.coalesce("_n", F.lit(0)).alias("n"))
 
@@ -138,7 +138,7 @@ def boxplot_overall(df: DataFrame, spec: SeriesSpec, k: int = 50) -> DataFrame:
     )
     if not spec.by:
         some = some.select(F.coalesce("_o", F.array()).alias("_o"))
-    out = attach(_five(rows, spec.y, spec.by), some, spec.by)
+    out = series_join(_five(rows, spec.y, spec.by), some, spec.by)
     empty = F.array().cast("array<double>")
     return out.withColumn("outliers", F.coalesce(F.transform("_o", lambda s: s["v"].cast("double")), empty)).drop("_o")
 

@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.operators.index import IDX, LEN, order_series, windowed
+from seriesloom.operators.index import IDX, LEN, indexed_rows, windowed
 from seriesloom.spec import SeriesSpec
 
 NTZ = "timestamp_ntz"
@@ -70,7 +70,7 @@ def dedupe_keep_last(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def head_tail(df: DataFrame, spec: SeriesSpec, k: int = 3) -> DataFrame:
     """First and last ``k`` rows of each series, with the part they belong to."""
-    rows = order_series(df, spec).indexed()
+    rows = indexed_rows(df, spec)
     first, last = F.col(IDX) < k, F.col(IDX) >= F.col(LEN) - k
     part = F.explode(F.filter(F.array(F.when(first, F.lit("head")), F.when(last, F.lit("tail"))),
                               lambda x: x.isNotNull()))
@@ -79,7 +79,7 @@ def head_tail(df: DataFrame, spec: SeriesSpec, k: int = 3) -> DataFrame:
 
 def row_positions(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows with ``_idx`` and ``_len``."""
-    return order_series(df, spec, columns).indexed()
+    return indexed_rows(df, spec, columns)
 
 
 def step_counts(df: DataFrame, spec: SeriesSpec) -> DataFrame:

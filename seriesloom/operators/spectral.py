@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.operators.index import IDX, LEN, BLK, OWN, block_window, halo_blocks, order_series
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import attach, keyed_join, series_join
 from seriesloom.operators.profile import present
 from seriesloom.operators.series import frequency_code, modal_step
+from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
 
 #: Seasonal period by frequency code, and the period of an unknown frequency (fixed values).
@@ -94,7 +95,7 @@ def series_frequency(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     step = modal_step(df, spec)
     ends = df.groupBy(*spec.by).agg(F.count(F.lit(1)).alias("_rows"))
     freq = frequency_code(F.col("step_seconds"))
-    return attach(ends, step, spec.by).select(*spec.by, freq.alias("frequency")).withColumn("period", _period_of(F.col("frequency")))
+    return series_join(ends, step, spec.by).select(*spec.by, freq.alias("frequency")).withColumn("period", _period_of(F.col("frequency")))
 
 
 def _top(df: DataFrame, column: str) -> int:
@@ -106,7 +107,7 @@ def seasonality_acf(df: DataFrame, spec: SeriesSpec, freqs: DataFrame | None = N
     """Highest autocorrelation within two lags of the expected period, against a threshold."""
     freqs = freqs if freqs is not None else series_frequency(df, spec)
     widest = min(100, _top(freqs, "period") + 2)
-    a = attach(_acf_array(df, spec, widest), freqs, spec.by)
+    a = series_join(_acf_array(df, spec, widest), freqs, spec.by)
     limit = F.least(F.floor(F.col("n") / 2), F.col("period") * 3, F.lit(100))
     lag = F.explode(F.sequence(F.greatest(F.lit(1), F.col("period") - 2), F.col("period") + 2))
     near = a.select(*spec.by, "frequency", "period", "n", "acf", limit.alias("_limit"), lag.alias("lag"))
@@ -115,7 +116,7 @@ def seasonality_acf(df: DataFrame, spec: SeriesSpec, freqs: DataFrame | None = N
     best = near.groupBy(*spec.by).agg(F.max(F.struct(F.col("_r"), (-F.col("lag")).alias("neg"))).alias("_b"))
     if not spec.by:
         best = best.filter(F.col("_b").isNotNull())
-    out = attach(freqs, best, spec.by)
+    out = series_join(freqs, best, spec.by)
     threshold = F.when(F.col("frequency") == "D", 0.25).otherwise(0.15)
     hit = F.coalesce(F.col("_b._r") > threshold, F.lit(False))
     return out.select(*spec.by, "frequency", "period", hit.alias("acf_detected"),
@@ -164,9 +165,7 @@ def seasonal_decompose(df: DataFrame, spec: SeriesSpec, period: int = 7, last: i
     out = out.withColumn("_ph", (F.col(IDX) % period).cast("int"))
     means = out.groupBy(*spec.by, "_ph").agg(F.avg(y - F.col("trend")).alias("_m"))
     level = means.groupBy(*spec.by).agg(F.avg("_m").alias("_lv"))
-    phases = attach(means, level, spec.by).select(*spec.by, "_ph", (F.col("_m") - F.col("_lv")).alias("seasonal"))
-    from seriesloom.operators.joins import keyed_join
-
+    phases = series_join(means, level, spec.by).select(*spec.by, "_ph", (F.col("_m") - F.col("_lv")).alias("seasonal"))
     out = keyed_join(out, phases, [*spec.by, "_ph"])
     return out.withColumn("resid", y - F.col("trend") - F.col("seasonal")).drop("_ph", LEN).withColumnRenamed(IDX, "idx")
 
@@ -186,7 +185,7 @@ def seasonality_decomp(df: DataFrame, spec: SeriesSpec, freqs: DataFrame | None
         s = dec.groupBy(*spec.by).agg(F.var_pop("seasonal").alias("_vs"), F.var_pop("resid").alias("_vr"))
         s = s.select(*spec.by, (F.col("_vs") / F.nullif(F.col("_vs") + F.col("_vr"), F.lit(0.0))).alias("_st"))
         strength = s if strength is None else strength.unionByName(s)
-    out = attach(freqs, strength, spec.by)
+    out = series_join(freqs, strength, spec.by)
     hit = F.coalesce(F.col("_st") > 0.1, F.lit(False))
     return out.select(*spec.by, "frequency", "period", hit.alias("decomp_detected"),
                       F.when(hit, F.col("period")).alias("decomp_period"),
@@ -195,13 +194,11 @@ def seasonality_decomp(df: DataFrame, spec: SeriesSpec, freqs: DataFrame | None
 
 def seasonality_hybrid(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Either method may detect; when both do, the larger value decides the period."""
-    from seriesloom.session import materialize
-
     freqs = materialize(series_frequency(df, spec))
     size = present(df, spec).groupBy(*spec.by).agg(F.count(F.lit(1)).alias("n"))
     a = seasonality_acf(df, spec, freqs)
     d = seasonality_decomp(df, spec, freqs).drop("frequency", "period")
-    both = attach(attach(a, d, spec.by), size, spec.by)
+    both = series_join(series_join(a, d, spec.by), size, spec.by)
     known = F.col("frequency").isin(list(PERIODS))
     usable = known | (F.col("n") >= 24)
     ha, hd = F.col("acf_detected") & usable, F.col("decomp_detected") & usable

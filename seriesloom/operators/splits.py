@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.operators.index import IDX, LEN, order_series
+from seriesloom.operators.index import IDX, LEN, indexed_rows
 from seriesloom.operators.joins import attach
 from seriesloom.operators.series import NTZ
 from seriesloom.spec import SeriesSpec
@@ -14,6 +14,11 @@ from seriesloom.spec import SeriesSpec
 RATIOS = (0.7, 0.15, 0.15)
 
 
+def _made_here(df: DataFrame) -> list[str]:
+    """Index columns to drop again, unless the input brought them."""
+    return [] if IDX in df.columns else [IDX, LEN]
+
+
 def _part_of(n: Column, train: float, val: float) -> Column:
     """Whole rows of a share: train and validation are cut down, test takes the rest."""
     n_train = F.floor(n * F.lit(float(train)))
@@ -23,8 +28,8 @@ def _part_of(n: Column, train: float, val: float) -> Column:
 
 def split_ratio(df: DataFrame, spec: SeriesSpec, ratios: Sequence[float] = RATIOS, out: str = "split") -> DataFrame:
     """Label the rows of each series by their position; without a group the table is one series."""
-    rows = order_series(df, spec).indexed()
-    return rows.withColumn(out, _part_of(F.col(LEN), ratios[0], ratios[1])).drop(IDX, LEN)
+    rows = indexed_rows(df, spec)
+    return rows.withColumn(out, _part_of(F.col(LEN), ratios[0], ratios[1])).drop(*_made_here(df))
 
 
 split_ratio_grouped = split_ratio
@@ -35,13 +40,13 @@ def split_cutoff(df: DataFrame, spec: SeriesSpec, cutoff: str, ratios: Sequence[
     """Train up to the cut-off; the rest by val/(val+test). Series without a train row split by ratio."""
     at = F.lit(cutoff).cast(NTZ)
     counts = df.groupBy(*spec.by).agg(F.count_if(F.col(spec.ts) <= at).alias("_ntr"))
-    rows = attach(order_series(df, spec).indexed(), counts, spec.by)
+    rows = attach(indexed_rows(df, spec), counts, spec.by)
     rest = ratios[1] + ratios[2]
     share = ratios[1] / rest if rest > 0 else 0.5
     n_val = F.floor((F.col(LEN) - F.col("_ntr")) * F.lit(float(share)))
     by_date = F.when(F.col(IDX) < F.col("_ntr"), "train").when(F.col(IDX) < F.col("_ntr") + n_val, "val").otherwise("test")
     label = F.when(F.col("_ntr") > 0, by_date).otherwise(_part_of(F.col(LEN), ratios[0], ratios[1]))
-    return rows.withColumn(out, label).drop(IDX, LEN, "_ntr")
+    return rows.withColumn(out, label).drop("_ntr", *_made_here(df))
 
 
 def split_cv(df: DataFrame, spec: SeriesSpec, folds: int = 5, mode: str = "expanding") -> DataFrame:
@@ -52,13 +57,13 @@ def split_cv(df: DataFrame, spec: SeriesSpec, folds: int = 5, mode: str = "expan
     """
     if mode not in ("expanding", "sliding"):
         raise ValueError("mode is 'expanding' or 'sliding'")
-    rows = order_series(df, spec).indexed()
+    rows = indexed_rows(df, spec)
     size = F.floor(F.col(LEN) / (folds + 1))
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     start = F.col(LEN) - (folds - F.col("fold") + 1) * size
     first = F.lit(0) if mode == "expanding" else (F.col("fold") - 1) * size
     rows = rows.filter((F.col(IDX) >= first) & (F.col(IDX) < start + size))
-    return rows.withColumn("split", F.when(F.col(IDX) < start, "train").otherwise("test")).drop(IDX, LEN)
+    return rows.withColumn("split", F.when(F.col(IDX) < start, "train").otherwise("test")).drop(*_made_here(df))
 
 
 def split_sizes(df: DataFrame, spec: SeriesSpec, ratios: Sequence[float] = RATIOS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seriesloom.functions.linalg import gram, least_squares, square
 from seriesloom.operators.index import IDX, LEN, OWN, POS, SEG, block_window, halo_blocks, order_series
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import attach, keyed_join, series_join, side_join
 from seriesloom.operators.profile import present
 from seriesloom.operators.spectral import lag_products
 from seriesloom.spec import SeriesSpec
@@ -70,7 +70,7 @@ def stationarity_adf(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     head = rows.filter(F.col(IDX) <= F.col("_L")).groupBy(*spec.by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(IDX, "_z"))), lambda s: s["_z"]).alias("_head")
     )
-    table = attach(attach(sizes, sums, spec.by), head, spec.by)
+    table = series_join(series_join(sizes, sums, spec.by), head, spec.by)
 
     @F.pandas_udf("struct<stat double, p double, lags int>")
     def test(g: pd.Series, rows_n: pd.Series, lim: pd.Series, head_v: pd.Series) -> pd.DataFrame:
@@ -124,7 +124,7 @@ def running_sum(df: DataFrame, spec: SeriesSpec, out: str = "_cum") -> DataFrame
     totals = ordered.rows.groupBy(*spec.by, SEG).agg(F.sum(spec.y).alias("_tot"))
     key = spec.by or [F.lit(0)]
     run = W.partitionBy(*key).orderBy(SEG).rowsBetween(W.unboundedPreceding, 0)
-    seg = keyed_join(totals, ordered.segs, [*spec.by, SEG], "inner").select(
+    seg = side_join(totals, ordered.segs, [*spec.by, SEG], "inner").select(
         *spec.by, SEG, "_start", "_off", LEN, (F.sum("_tot").over(run) - F.col("_tot")).alias("_base")
     )
     rows = keyed_join(ordered.rows, seg, [*spec.by, SEG], "inner")

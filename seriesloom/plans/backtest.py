@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.forecast.baseline import fc_moving_average, fc_naive, fc_seasonal_naive
-from seriesloom.operators.index import IDX, order_series
+from seriesloom.operators.index import IDX, LEN, indexed_rows
 from seriesloom.operators.metrics import align_actual_pred, score
 from seriesloom.operators.ranking import rank_models
 from seriesloom.operators.splits import RATIOS, split_ratio
@@ -15,14 +15,11 @@ from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
 
 
-def test_grid(split: DataFrame, spec: SeriesSpec, label: str = "split") -> DataFrame:
-    """Timestamps of the test rows, numbered ``h`` = 1.. within each series."""
-    test = split.filter(F.col(label) == "test").select(*spec.by, spec.ts)
-    rows = order_series(test, SeriesSpec(ts=spec.ts, group=spec.group)).indexed()
-    return rows.select(*spec.by, (F.col(IDX) + 1).cast("int").alias("h"), spec.ts)
-
-
-test_grid.__test__ = False
+def split_with_steps(series: DataFrame, spec: SeriesSpec, ratios: Sequence[float] = RATIOS) -> DataFrame:
+    """Split rows that keep their position, and ``h``: the number of steps past the last known row."""
+    rows = split_ratio(indexed_rows(series, spec), spec, ratios)
+    known = sum((F.floor(F.col(LEN) * F.lit(float(r))) for r in ratios[:2]), F.lit(0))
+    return rows.withColumn("h", (F.col(IDX) - known + 1).cast("int"))
 
 
 def backtest_baselines(series: DataFrame, spec: SeriesSpec, ratios: Sequence[float] = RATIOS, period: int = 7,
@@ -31,11 +28,11 @@ def backtest_baselines(series: DataFrame, spec: SeriesSpec, ratios: Sequence[flo
 
     Forecasts start from all rows before the test part; MASE scales by the train part.
     """
-    split = materialize(split_ratio(series, spec, ratios))
+    split = materialize(split_with_steps(series, spec, ratios))
     train = split.filter(F.col("split") == "train")
     known = split.filter(F.col("split") != "test")
     actual = split.filter(F.col("split") == "test").select(*spec.by, spec.ts, F.col(spec.y).cast("double").alias("actual"))
-    grid = materialize(test_grid(split, spec))
+    grid = split.filter(F.col("split") == "test").select(*spec.by, "h", spec.ts)
     make = {
         "naive": lambda: fc_naive(known, spec, grid=grid),
         "seasonal_naive": lambda: fc_seasonal_naive(known, spec, period=period, grid=grid),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.operators.clean import missing_summary
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import series_join
 from seriesloom.operators.profile import date_range_freq, describe_target, outlier_share, trend_linear
 from seriesloom.operators.spectral import seasonality_hybrid
 from seriesloom.operators.stationarity import stationarity_adf, stationarity_kpss
@@ -30,5 +30,5 @@ def series_report(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame
     ]
     out = date_range_freq(rows, spec)
     for s in sections:
-        out = attach(out, s, spec.by)
+        out = series_join(out, s, spec.by)
     return out.withColumn("stationary", F.col("adf_stationary"))

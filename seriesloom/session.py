@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def build_session(app: str = "seriesloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,4 +45,26 @@ def materialize(df: DataFrame) -> DataFrame:
     partitions, fitted statistics), and to survive the loss of executors.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    size = F.coalesce(F.sum(_row_bytes(df)), F.lit(0).cast("long"))
+    out = df.observe(seen, size.alias("bytes")).checkpoint(eager=True)
+    out._written_bytes = int(seen.get["bytes"])
+    return out
+
+
+def written_bytes(df: DataFrame) -> int | None:
+    """Size noted when ``df`` was materialised, or None for any other frame."""
+    return getattr(df, "_written_bytes", None)
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row in memory; strings and arrays count with their real length."""
+    fixed, parts = 16, []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            parts.append(F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 16)
+        fixed += 16
+    return reduce(lambda a, b: a + b, parts, F.lit(fixed).cast("long"))

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 BOUNDS = ("lo95", "hi95", "lo80", "hi80")
 
 
+def _field(name: str):
+    return F.transform("_s", lambda s: s[name])
+
+
 def forecast_documents(forecasts: DataFrame, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """One row per model and series with parallel arrays; an array is as long as the horizon."""
     bounds = [b for b in BOUNDS if b in forecasts.columns]
     steps = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), "yhat", *bounds)))
     docs = forecasts.groupBy("model", *by).agg(steps.alias("_s"))
     return docs.select(
-        "model", *by, F.transform("_s", lambda s: s["ts"]).alias("dates"), F.transform("_s", lambda s: s["yhat"]).alias("values"),
-        *[F.transform("_s", lambda s, b=b: s[b]).alias(b) for b in bounds],
+        "model", *by, _field("ts").alias("dates"), _field("yhat").alias("values"), *[_field(b).alias(b) for b in bounds],
     )
 
 
