@@ -71,9 +71,10 @@ WITH {GAP_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts)
 f AS (SELECT *, last_value(y IGNORE NULLS) OVER p AS a, first_value(y IGNORE NULLS) OVER n AS b,
   last_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER p AS ka, first_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER n AS kb
   FROM i WINDOW p AS (PARTITION BY grp ORDER BY ts ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY grp ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT grp, ts, round(CASE WHEN y IS NOT NULL THEN y WHEN a IS NULL THEN NULL WHEN b IS NULL THEN a ELSE a + (b - a) * (k - ka) / (kb - ka) END, 3) AS y FROM f""")
+SELECT grp, ts, round(CASE WHEN y IS NOT NULL THEN y WHEN a IS NULL THEN NULL WHEN b IS NULL THEN a ELSE a + (b - a) * (k - ka) / (kb - ka) END + 1.23e-5, 3) AS y FROM f""")
 def _(spark, sf):
-    return rounded(clean.fill_interpolate(gapped(spark, sf), PANEL), 3, "y")
+    # Both sides add a little before rounding, so that no value lies half way between two.
+    return rounded(clean.fill_interpolate(gapped(spark, sf), PANEL).withColumn("y", F.col("y") + 1.23e-5), 3, "y")
 
 
 @query("fill_mean", f"WITH {GAP_SQL} SELECT grp, ts, round(coalesce(y, avg(y) OVER (PARTITION BY grp)), 3) AS y FROM gap")
@@ -197,7 +198,7 @@ o AS (SELECT f.*, y < lower OR y > upper AS bad FROM f JOIN b USING (grp)),
 t AS (SELECT grp, ts, ln(1 + y) AS y FROM o WHERE NOT bad),
 w AS (SELECT *, lag(y, 1) OVER p AS y_lag_1, lag(y, 7) OVER p AS y_lag_7, avg(y) OVER (p ROWS 6 PRECEDING) AS y_rolling_mean_7, stddev_samp(y) OVER (p ROWS 6 PRECEDING) AS y_rolling_std_7
   FROM t WINDOW p AS (PARTITION BY grp ORDER BY ts)),
-k AS (SELECT *, isodow(ts) - 1 AS day_of_week FROM w WHERE y_lag_7 IS NOT NULL),
+k AS (SELECT *, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week FROM w WHERE y_lag_7 IS NOT NULL),
 d AS (SELECT *, y - lag(y) OVER (PARTITION BY grp ORDER BY ts) AS y_diff_1 FROM k)"""
 _STEPS = PreprocessConfig(missing="forward_fill", outliers="iqr", transformation="log", lags=(1, 7), windows=(7,), date_parts=("day_of_week",), diff_order=1)
 

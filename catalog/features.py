@@ -63,20 +63,20 @@ j AS (SELECT a.event_id, sum(b.y * 0.75e0 ** (a.i - b.i - 1)) / sum(0.75e0 ** (a
   FROM k a JOIN k b ON a.grp = b.grp AND b.i BETWEEN a.i - 129 AND a.i - 1 GROUP BY ALL)
 SELECT raw.*, lag(y, 1) {_P}) AS lag_1, lag(y, 7) {_P}) AS lag_7, lag(y, 14) {_P}) AS lag_14, lag(y, 28) {_P}) AS lag_28,
   {', '.join(_roll('', n, 1, 'ts, event_id') for n in (7, 14, 30))}, round(e, 4) AS ewm_7,
-  month(ts) AS month, isodow(ts) - 1 AS day_of_week, dayofyear(ts) AS day_of_year FROM raw LEFT JOIN j USING (event_id)""")
+  CAST(month(ts) AS INTEGER) AS month, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(dayofyear(ts) AS INTEGER) AS day_of_year FROM raw LEFT JOIN j USING (event_id)""")
 def _(spark, sf):
     return rounded(features.tree_features(raw_events(spark, sf), RAW_PANEL), 4, *_ROLLED, "ewm_7")
 
 
 @query("date_features", """
-SELECT l_orderkey, l_linenumber, l_shipdate, isodow(l_shipdate) - 1 AS day_of_week, month(l_shipdate) AS month, quarter(l_shipdate) AS quarter,
-  year(l_shipdate) AS year, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS is_weekend FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_shipdate, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
+  CAST(year(l_shipdate) AS INTEGER) AS year, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS is_weekend FROM lineitem""")
 def _(spark, sf):
     return features.date_features(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate")
 
 
 @query("tree_date_features", """
-SELECT l_orderkey, l_linenumber, l_shipdate, month(l_shipdate) AS month, isodow(l_shipdate) - 1 AS day_of_week, dayofyear(l_shipdate) AS day_of_year FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_shipdate, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week, CAST(dayofyear(l_shipdate) AS INTEGER) AS day_of_year FROM lineitem""")
 def _(spark, sf):
     return features.tree_date_features(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate")
 

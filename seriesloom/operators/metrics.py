@@ -107,7 +107,7 @@ def fit_diagnostics(df: DataFrame, by: Sequence[str]) -> DataFrame:
     sa, sp = F.stddev_pop(ACTUAL), F.stddev_pop(PRED)
     usable = (F.count(F.lit(1)) > 1) & (sa > 0) & (sp > 0)
     return df.groupBy(*by).agg(
-        F.when(usable, F.corr(ACTUAL, PRED)).otherwise(0.0).alias("correlation"),
+        F.when(usable, F.covar_pop(ACTUAL, PRED) / F.nullif(sa * sp, F.lit(0.0))).otherwise(0.0).alias("correlation"),
         F.when(usable, sp / sa).otherwise(1.0).alias("std_ratio"),
     )
 

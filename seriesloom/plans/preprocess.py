@@ -69,9 +69,9 @@ def preprocess(df: DataFrame, spec: SeriesSpec, cfg: PreprocessConfig) -> tuple[
     first = before.first()
     counts = out.agg(F.count(F.lit(1)).alias("processed_rows"))
     report = counts.select(
-        F.lit(first["original_rows"]).alias("original_rows"), "processed_rows",
+        F.lit(first["original_rows"]).cast("long").alias("original_rows"), "processed_rows",
         (F.lit(first["original_rows"]) - F.col("processed_rows")).alias("removed_rows"),
-        F.lit(first["missing_handled"]).alias("missing_handled"),
+        F.lit(first["missing_handled"]).cast("long").alias("missing_handled"),
         F.lit(flagged.first()[0] if flagged is not None else 0).cast("long").alias("outliers_handled"),
         F.lit(",".join(created)).alias("features_created"),
     )
