@@ -12,7 +12,8 @@ from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
 
 FLAG = "is_outlier"
-_ROWS_PER_TASK = 1 << 17
+#: Rows that share one copy of a forest's step function.
+_ROWS_PER_TASK = 1 << 19
 
 
 def iqr_bounds(df: DataFrame, spec: SeriesSpec, k: float = 1.5) -> DataFrame:

@@ -55,8 +55,11 @@ def select_models(forecasts: DataFrame, chosen: Sequence[str]) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, by: Sequence[str] = (), fmt: str = "parquet", split: str = "split") -> None:
-    """One folder per series and part, so that later reads prune to what they need."""
-    writer = df.write.mode("overwrite").partitionBy(*by, split)
+    """One folder per series and part, so that later reads prune to what they need.
+
+    Rebalancing gives small parts one file and splits a hot series over several.
+    """
+    writer = df.hint("rebalance", *by, split).write.mode("overwrite").partitionBy(*by, split)
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 

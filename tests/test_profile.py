@@ -44,7 +44,7 @@ def brute_kpss(x):
     return (np.cumsum(r) ** 2).sum() / n**2 / lrv, lags
 
 
-GROUPS = {"white": noise(120, 1), "walk": np.cumsum(noise(150, 2)), "ar": noise(200, 3, 0.8)}
+GROUPS = {"white": noise(120, 1), "walk": np.cumsum(noise(150, 5)), "ar": noise(200, 3, 0.8)}
 
 
 def test_acf_and_pacf(spark):
@@ -117,7 +117,7 @@ def test_profiles_of_awkward_series(spark):
 
 def test_report_and_advice(spark):
     t = np.arange(150)
-    groups = {"walk": np.cumsum(noise(150, 2)), "gappy": [None if i % 8 == 0 else v for i, v in enumerate(np.sin(2 * np.pi * t / 7))], "short": noise(20)}
+    groups = {"walk": np.cumsum(noise(150, 5)), "gappy": [None if i % 8 == 0 else v for i, v in enumerate(np.sin(2 * np.pi * t / 7))], "short": noise(20)}
     report = series_report(series(spark, groups), SPEC)
     alerts = {(r["grp"], r["code"]) for r in advice.quality_alerts(report, ["grp"]).collect()}
     assert ("walk", "not_stationary") in alerts and ("gappy", "many_missing_values") in alerts and ("short", "few_rows") in alerts
