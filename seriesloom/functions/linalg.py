@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def gram(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
-         design: Callable[[pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
-    """Per series the matrix Z'Z of the design rows, as a flat array ``gram``, and the row count ``n``.
+         design: Callable[[pd.DataFrame], np.ndarray] | None = None, width: str | None = None) -> DataFrame:
+    """Per series the matrix Z'Z of the design rows, as its flat upper triangle ``gram``, and the row count ``n``.
 
     Every Arrow batch is reduced to one small matrix per series inside its task; the
     shuffle carries only those partial sums, whatever the number of rows of a series.
     ``design`` turns a batch into its matrix, by default the input columns themselves.
+    ``width`` names a column with the number of leading columns that a series needs, so
+    that short series do not carry the matrix of the longest one.
     """
     by, inputs = list(by), list(inputs)
-    picked = df.select(*by, *inputs)
+    picked = df.select(*by, *inputs, *([width] if width else []))
     ids = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields]
     schema = ", ".join([*ids, "_g array<double>", "_c bigint"])
 
@@ -30,7 +32,9 @@ def gram(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
             rows = []
             for key, part in parts:
                 z = design(part) if design else part[inputs].to_numpy(dtype=float)
-                rows.append([*(key if by else ()), (z.T @ z).ravel().tolist(), len(part)])
+                if width:
+                    z = z[:, : int(part[width].iloc[0])]
+                rows.append([*(key if by else ()), (z.T @ z)[np.triu_indices(z.shape[1])].tolist(), len(part)])
             yield pd.DataFrame(rows, columns=[*by, "_g", "_c"])
 
     partials = picked.mapInPandas(partial, schema)
@@ -58,6 +62,9 @@ def least_squares(g: np.ndarray, cols: Sequence[int], target: int, ridge: np.nda
 
 
 def square(flat: Sequence[float]) -> np.ndarray:
+    """The symmetric matrix of a flat upper triangle."""
     v = np.asarray(flat, dtype=float)
-    k = int(round(np.sqrt(len(v))))
-    return v.reshape(k, k)
+    k = int(round((np.sqrt(8 * len(v) + 1) - 1) / 2))
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = v
+    return out + np.triu(out, 1).T

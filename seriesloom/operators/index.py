@@ -106,19 +106,22 @@ def halo_blocks(indexed: DataFrame, back: int, ahead: int = 0, block: int | None
     b = F.floor(F.col(IDX) / F.lit(size)).cast("long")
     within = F.col(IDX) - b * F.lit(size)
     last = F.floor((F.col(LEN) - 1) / F.lit(size)).cast("long")
-    candidates = [F.struct(b.alias("b"), F.lit(True).alias("own"))]
-    none = F.lit(None).cast("struct<b:bigint,own:boolean>")
-    if back:
-        candidates.append(
-            F.when((within >= size - back) & (b < last), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))
-            .otherwise(none)
-        )
-    if ahead:
-        candidates.append(
-            F.when((within < ahead) & (b > 0), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))
-            .otherwise(none)
+    to_next = (within >= size - back) & (b < last)
+    to_previous = (within < ahead) & (b > 0)
+    own, following, preceding = (
+        F.struct((b + k).alias("b"), F.lit(k == 0).alias("own")) for k in (0, 1, -1)
+    )
+    # Spelt out as four cases, because plain arrays stay inside generated code.
+    if back and ahead:
+        places = (
+            F.when(to_next & to_previous, F.array(own, following, preceding))
+            .when(to_next, F.array(own, following)).when(to_previous, F.array(own, preceding)).otherwise(F.array(own))
         )
-    out = indexed.withColumn("_h", F.explode(F.filter(F.array(*candidates), lambda x: x.isNotNull())))
+    elif back:
+        places = F.when(to_next, F.array(own, following)).otherwise(F.array(own))
+    else:
+        places = F.when(to_previous, F.array(own, preceding)).otherwise(F.array(own))
+    out = indexed.withColumn("_h", F.explode(places))
     return out.select("*", F.col("_h.b").alias(BLK), F.col("_h.own").alias(OWN)).drop("_h")
 
 

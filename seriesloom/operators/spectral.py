@@ -20,16 +20,20 @@ PERIODS = {"D": 7, "W": 52, "M": 12, "Q": 4, "Y": 1, "H": 24, "30T": 48, "15T":
 DEFAULT_PERIOD = 24
 
 
-def lag_products(df: DataFrame, spec: SeriesSpec, lags: int) -> DataFrame:
-    """Per series: n, and an array of sums of (y[t]-m)(y[t-k]-m) for k = 0..lags.
-
-    All products of a row are formed from its padded block, so nothing is joined or multiplied out.
-    """
+def centred_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Present rows in order, with the target less its mean as ``_c``."""
     rows = present(df, spec)
     y = F.col(spec.y).cast("double")
     mean = rows.groupBy(*spec.by).agg(F.avg(y).alias("_mu"))
     centred = attach(rows, mean, spec.by).select(*spec.by, spec.ts, *spec.tie, (y - F.col("_mu")).alias("_c"))
-    indexed = order_series(centred, SeriesSpec(ts=spec.ts, y="_c", group=spec.group, tie=spec.tie)).indexed()
+    return order_series(centred, SeriesSpec(ts=spec.ts, y="_c", group=spec.group, tie=spec.tie)).indexed()
+
+
+def lag_products(indexed: DataFrame, spec: SeriesSpec, lags: int) -> DataFrame:
+    """From ordered rows with a centred column ``_c``: n, and sums of c[t]c[t-k] for k = 0..lags as an array.
+
+    All products of a row are formed from its padded block, so nothing is joined or multiplied out.
+    """
     blocks = halo_blocks(indexed, back=lags)
     w = block_window(spec.by)
     lagged = blocks.select(*spec.by, OWN, "_c", *[F.lag("_c", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
@@ -39,7 +43,7 @@ def lag_products(df: DataFrame, spec: SeriesSpec, lags: int) -> DataFrame:
 
 
 def _acf_array(df: DataFrame, spec: SeriesSpec, lags: int) -> DataFrame:
-    p = lag_products(df, spec, lags)
+    p = lag_products(centred_rows(df, spec), spec, lags)
     zero = F.element_at("products", 1)
     values = F.transform("products", lambda v: v / F.nullif(zero, F.lit(0.0)))
     return p.select(*spec.by, "n", values.alias("acf"))

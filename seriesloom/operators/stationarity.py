@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seriesloom.functions.linalg import gram, least_squares, square
-from seriesloom.operators.index import IDX, LEN, OWN, POS, SEG, block_window, halo_blocks, order_series
-from seriesloom.operators.joins import attach, keyed_join, series_join, side_join
+from seriesloom.operators.index import BLK, BLOCK_ROWS, IDX, LEN, OWN, block_window, halo_blocks, order_series
+from seriesloom.operators.joins import attach, keyed_join, series_join
 from seriesloom.operators.profile import present
 from seriesloom.operators.spectral import lag_products
+from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
 
 # Response surface of MacKinnon (1994) for a regression with constant.
@@ -62,11 +63,11 @@ def stationarity_adf(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     used = lagged.filter(F.col(OWN) & (F.col(IDX) >= F.col("_L") + 1))
     chain = ["_z", *[f"_l{k}" for k in range(1, top + 2)]]
     design = used.select(
-        *spec.by, F.lit(1.0).alias("_one"), F.col("_l1").alias("_lev"),
+        *spec.by, (F.col("_L") + 3).alias("_width"), F.lit(1.0).alias("_one"), F.col("_l1").alias("_lev"),
         *[F.coalesce(F.col(chain[k]) - F.col(chain[k + 1]), F.lit(0.0)).alias(f"_d{k}") for k in range(0, top + 1)],
     )
-    inputs = ["_one", "_lev", *[f"_d{k}" for k in range(1, top + 1)], "_d0"]
-    sums = gram(design, spec.by, inputs).withColumnRenamed("n", "_rows")
+    inputs = ["_one", "_lev", *[f"_d{k}" for k in range(0, top + 1)]]
+    sums = gram(design, spec.by, inputs, width="_width").withColumnRenamed("n", "_rows")
     head = rows.filter(F.col(IDX) <= F.col("_L")).groupBy(*spec.by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(IDX, "_z"))), lambda s: s["_z"]).alias("_head")
     )
@@ -89,10 +90,11 @@ def _adf_one(flat, rows: float, limit: int, head) -> tuple[float, float, int]:
     if flat is None or rows is None or not np.isfinite(rows) or rows <= limit + 2:
         return failed
     g = square(flat)
-    target = g.shape[0] - 1
+    # Columns: constant, level, difference to explain, lagged differences.
+    target = 2
     best = None
     for k in range(limit + 1):
-        cols = list(range(2 + k))
+        cols = [0, 1, *range(3, 3 + k)]
         _, rss, _ = least_squares(g, cols, target)
         if rss <= 1e-12 * rows:
             return failed
@@ -104,7 +106,7 @@ def _adf_one(flat, rows: float, limit: int, head) -> tuple[float, float, int]:
     y = np.asarray(head, dtype=float)
     d = np.diff(y)
     extra = [[1.0, y[t - 1], *(d[t - 1 - i] for i in range(1, k + 1)), d[t - 1]] for t in range(k + 1, min(limit, len(y) - 1) + 1)]
-    cols = [*range(2 + k), target]
+    cols = [0, 1, *range(3, 3 + k), target]
     sub = g[np.ix_(cols, cols)]
     if extra:
         e = np.asarray(extra)
@@ -118,19 +120,16 @@ def _adf_one(flat, rows: float, limit: int, head) -> tuple[float, float, int]:
     return stat, adf_pvalue(stat), k
 
 
-def running_sum(df: DataFrame, spec: SeriesSpec, out: str = "_cum") -> DataFrame:
-    """Cumulative target in series order with ``_idx`` and ``_len``: segment totals, then sums inside segments."""
-    ordered = order_series(df, spec)
-    totals = ordered.rows.groupBy(*spec.by, SEG).agg(F.sum(spec.y).alias("_tot"))
+def running_sum(indexed: DataFrame, spec: SeriesSpec, column: str, out: str = "_cum") -> DataFrame:
+    """Cumulative sum of a column of ordered rows: totals of whole blocks, then sums inside a block."""
+    rows = indexed.withColumn(BLK, F.floor(F.col(IDX) / F.lit(BLOCK_ROWS)).cast("long"))
+    totals = rows.groupBy(*spec.by, BLK).agg(F.sum(column).alias("_tot"))
     key = spec.by or [F.lit(0)]
-    run = W.partitionBy(*key).orderBy(SEG).rowsBetween(W.unboundedPreceding, 0)
-    seg = side_join(totals, ordered.segs, [*spec.by, SEG], "inner").select(
-        *spec.by, SEG, "_start", "_off", LEN, (F.sum("_tot").over(run) - F.col("_tot")).alias("_base")
-    )
-    rows = keyed_join(ordered.rows, seg, [*spec.by, SEG], "inner")
-    inside = W.partitionBy(*spec.by, SEG).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn(out, F.col("_base") + F.sum(spec.y).over(inside)).withColumn(IDX, F.col("_off") + F.col(POS) - F.col("_start"))
-    return rows.drop(SEG, POS, "_start", "_off", "_base")
+    run = W.partitionBy(*key).orderBy(BLK).rowsBetween(W.unboundedPreceding, 0)
+    bases = totals.select(*spec.by, BLK, (F.sum("_tot").over(run) - F.col("_tot")).alias("_base"))
+    inside = block_window(spec.by).rowsBetween(W.unboundedPreceding, 0)
+    placed = keyed_join(rows, bases, [*spec.by, BLK], "inner")
+    return placed.withColumn(out, F.col("_base") + F.sum(column).over(inside)).drop("_base", BLK)
 
 
 def stationarity_kpss(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -141,10 +140,11 @@ def stationarity_kpss(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     Series for which the test cannot be computed get (0, 1, true).
     """
     z, zspec = _unit_scaled(df, spec)
+    rows = order_series(z, zspec).indexed().select(*spec.by, IDX, LEN, F.col("_z").alias("_c"))
     sizes = z.groupBy(*spec.by).agg(F.count(F.lit(1)).alias("n"))
     short = F.floor(F.pow(F.col("n").cast("double"), 2.0 / 9.0)).cast("int")
     top = int(sizes.agg(F.coalesce(F.max(short), F.lit(0))).first()[0])
-    prods = lag_products(z, zspec, max(top, 1))
+    prods = materialize(lag_products(rows, spec, max(top, 1)))
     at = F.slice(F.col("products"), 2, F.greatest(short, F.lit(0)))
     half = F.col("n") / 2.0
     s0 = F.element_at("products", 1) / F.col("n") + F.aggregate(at, F.lit(0.0), lambda a, v: a + v / half)
@@ -153,7 +153,7 @@ def stationarity_kpss(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     gamma = 1.1447 * F.pow(F.pow(s1 / F.nullif(s0, F.lit(0.0)), 2), 1.0 / 3.0)
     lags = F.floor(gamma * F.pow(F.col("n").cast("double"), 1.0 / 3.0))
     bands = prods.select(*spec.by, "n", F.least(F.coalesce(lags, F.lit(0)), F.col("n") - 1).cast("long").alias("kpss_lags"))
-    cum = running_sum(z, zspec).select(*spec.by, IDX, LEN, "_cum")
+    cum = running_sum(rows, spec, "_c").select(*spec.by, IDX, LEN, "_cum")
     cum = attach(cum, bands.drop("n"), spec.by)
     # Every row is sent to its own place and to the place l + 1 rows later; the two sides meet there.
     here = F.struct(F.col(IDX).alias("at"), F.col("_cum").alias("a"), F.lit(None).cast("double").alias("b"))

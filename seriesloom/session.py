@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from functools import reduce
 
@@ -16,8 +17,6 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.checkpoint.compress", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -44,12 +43,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and go on from there.
 
     Used where two branches of a plan must see the very same rows (range
-    partitions, fitted statistics), and to survive the loss of executors.
+    partitions, fitted statistics), and to survive the loss of executors. A Parquet
+    table is smaller than a checkpoint of rows, later scans read only the columns they
+    need, and its size is known to the planner.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     seen = Observation()
     size = F.coalesce(F.sum(_row_bytes(df)), F.lit(0).cast("long"))
-    out = df.observe(seen, size.alias("bytes")).checkpoint(eager=True)
+    df.observe(seen, size.alias("bytes")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_bytes = int(seen.get["bytes"])
     return out
 
