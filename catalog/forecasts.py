@@ -202,12 +202,12 @@ m AS (SELECT grp, model, count(*) AS n, avg(abs(actual - pred)) AS mae, sqrt(avg
   avg(CASE WHEN abs(actual) + abs(pred) <> 0 THEN 2 * abs(actual - pred) / (abs(actual) + abs(pred)) END) * 100 AS smape,
   1 - sum((actual - pred) ** 2) / (var_pop(actual) * count(*)) AS r2, median(abs(actual - pred)) AS medae FROM p GROUP BY ALL)
 SELECT grp, model, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape, round(r2, 6) AS r2,
-  round(medae, 2) AS medae, round(mae / ne, 6) AS mase, row_number() OVER (PARTITION BY grp ORDER BY rmse, model) AS rank
+  round(medae, 4) AS medae, round(mae / ne, 6) AS mase, row_number() OVER (PARTITION BY grp ORDER BY rmse, model) AS rank
 FROM m JOIN scale USING (grp)"""
 
 
 @query("backtest_baselines", _BACKTEST_SQL)
 def flagship(spark, sf):
     out = backtest_baselines(panel(spark, sf), PANEL)
-    out = rounded(out, 2, "mae", "rmse", "medae")
-    return rounded(rounded(out, 4, "mape", "smape"), 6, "r2", "mase").withColumn("rank", F.col("rank").cast("long"))
+    out = rounded(out, 2, "mae", "rmse")
+    return rounded(rounded(out, 4, "mape", "smape", "medae"), 6, "r2", "mase").withColumn("rank", F.col("rank").cast("long"))

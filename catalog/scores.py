@@ -86,7 +86,7 @@ def _(spark, sf):
 _SCORES_SQL = _PAIRS_SQL + _SCALE_SQL + f""", sc AS (SELECT grp, model, count(*) AS n, {', '.join(f'{sql} AS {name}' for name, (sql, _) in _EXPR.items())},
   median(abs(actual - pred)) AS medae, avg(abs(actual - pred)) / any_value(ne) AS mase, CAST(sum(n_char) AS DOUBLE) AS training_time
   FROM (SELECT *, length(model) AS n_char FROM p) JOIN scale USING (grp) GROUP BY ALL)"""
-_ROUNDED_SQL = "round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape, round(r2, 6) AS r2, round(medae, 2) AS medae, round(mase, 6) AS mase"
+_ROUNDED_SQL = "round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape, round(r2, 6) AS r2, round(medae, 4) AS medae, round(mase, 6) AS mase"
 
 
 def scores(spark, sf):
@@ -97,7 +97,7 @@ def scores(spark, sf):
 
 
 def _round_scores(df):
-    return rounded(rounded(rounded(df, 2, "mae", "rmse", "medae"), 4, "mape", "smape"), 6, "r2", "mase")
+    return rounded(rounded(rounded(df, 2, "mae", "rmse"), 4, "mape", "smape", "medae"), 6, "r2", "mase")
 
 
 @query("rank_models", f"{_SCORES_SQL} SELECT grp, model, n, {_ROUNDED_SQL}, training_time, row_number() OVER (PARTITION BY grp ORDER BY r2 DESC, model) AS rank FROM sc")
@@ -116,10 +116,10 @@ def _(spark, sf):
 
 
 @query("eval_summary", f"""{_GROUPED_SQL} SELECT CAST(sum(n_series) AS BIGINT) AS total_models, max(CASE WHEN rank = 1 THEN model END) AS best_model, round(max(CASE WHEN rank = 1 THEN rmse END), 2) AS best_value,
-  {', '.join(f"round(coalesce(avg(nullif({m}, 0)), 0), {2 if m in ('mae', 'rmse', 'medae') else 4}) AS avg_{m}" for m in metrics.METRICS)}, sum(training_time) AS total_training_time FROM rk""")
+  {', '.join(f"round(coalesce(avg(nullif({m}, 0)), 0), {2 if m in ('mae', 'rmse') else 6 if m == 'medae' else 4}) AS avg_{m}" for m in metrics.METRICS)}, sum(training_time) AS total_training_time FROM rk""")
 def _(spark, sf):
     out = ranking.eval_summary(ranking.rank_grouped(scores(spark, sf)))
-    out = rounded(out, 2, "best_value", "avg_mae", "avg_rmse", "avg_medae")
+    out = rounded(rounded(out, 2, "best_value", "avg_mae", "avg_rmse"), 6, "avg_medae")
     return rounded(out, 4, "avg_mape", "avg_smape", "avg_r2", "avg_mase")
 
 
