@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seriesloom.llm.bpe import bpe_decode, bpe_encode
 from seriesloom.llm.minhash import near_duplicates
+from seriesloom.llm.repair import read_shards, write_shards
+from seriesloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,8 +45,7 @@ links AS (
   GROUP BY 1, 2, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
 reach(node, other) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
-  UNION SELECT r.node, l.a FROM reach r JOIN links l ON l.b = r.other),
+  UNION SELECT r.node, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.other),
 c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)
 """
 
@@ -51,3 +55,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_repair_shards")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    write_shards(_table(spark, sf, "documents"), folder, TOKENIZER)
+    return read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_bpe_lexicon")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    both = bpe_decode(bpe_encode(_table(spark, sf, "documents"), TOKENIZER), TOKENIZER)
+    return both.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
