@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
+from seriesloom.llm.imatch import compare_edited, lexicon
 from seriesloom.llm.minhash import near_duplicates
 from seriesloom.llm.repair import read_shards, write_shards
 from seriesloom.session import ensure_checkpoint_dir
@@ -75,3 +76,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_imatch")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return compare_edited(docs, lexicon(docs, "text"))
