@@ -438,7 +438,7 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_of(path)
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 16 << 20):
+            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
                 starts = split_words(data, offsets, v)
                 ends = np.append(starts[1:], data.size)
                 short = ends - starts <= 64
@@ -483,7 +483,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder_of(path, file)
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), 2 << 20):
                 ids, bounds = encoder.encode(data, offsets)
                 where = pa.py_buffer((bounds * 4).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), hi - lo, [None, where, pa.py_buffer(ids.astype("<u4"))])

@@ -35,7 +35,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 16 << 20):
+            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
                 h, first = word_hashes(data, offsets)
                 own = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b > a]
                 if own:

@@ -20,9 +20,9 @@ class MinHashSettings:
 
     With 24 bands of 4, a pair at the bound of 85 percent shares no band with probability 2e-8, and a pair above it more rarely still.
     ``percent`` is the least similarity: 100 * intersection >= percent * union. ``agree`` is how many coordinates of a
-    linked pair must agree before its texts are compared (82 of 96 are expected at the bound, 60 lie six deviations below);
-    it is applied only inside buckets whose members fall into several groups. Buckets of up to ``small`` sets are
-    compared by a join, larger ones in blocks of ``block`` members.
+    linked pair must agree before their sets are compared (82 of 96 are expected at the bound, 60 lie six deviations below);
+    it is applied only inside large buckets. Buckets of up to ``small`` sets are
+    compared by a join, larger ones in blocks of about ``block`` members and ``block_bytes`` of sets.
     """
 
     shingle: int = 5
@@ -30,8 +30,9 @@ class MinHashSettings:
     bands: int = 24
     rows: int = 4
     agree: int = 60
-    small: int = 24
+    small: int = 16
     block: int = 1024
+    block_bytes: int = 32 << 20
 
 
 _FIRST, _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -125,7 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. In each bucket every class is paired with the smallest one (a pre-aggregated minimum, no pairs within the bucket), pairs are
        verified on the full sets, and components are formed.
     3. Buckets whose members still lie in several components are looked at again: members outside the component of the smallest one are
-       compared with all others of other components, large buckets in blocks, by their signatures; what agrees is verified on the texts.
+       compared with all others of other components. A large bucket is dealt out in blocks, a block against a block per task, which compares signatures
+       and then full sets, skips what it has linked already and returns no more links than it has members.
 
     NULL or blank texts have the size 0, are linked with nothing and are kept. Rows with one id are one document, linked by
     what any of them holds; each gives a row. A NULL id gets the component NULL and is kept. An empty table gives an empty one.
@@ -143,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(reps.unionByName(single).dropDuplicates(["k1", "k2", "n", "rep"]).select("rep", "n", "bands", "sketch"))
     placed = members.select("rep", "n", F.explode("bands").alias("key"))
     buckets = materialize(
-        placed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("size")).where("size > 1").select("key", F.col("low.rep").alias("low"), F.col("low.n").alias("low_n"), "size")
+        placed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("size"), F.sum("n").alias("volume")).where("size > 1").select("key", F.col("low.rep").alias("low"), F.col("low.n").alias("low_n"), "size", "volume")
     )
     held = materialize(placed.join(buckets, "key"))
     fits = f"100 * least(%s) >= {s.percent} * greatest(%s)"
@@ -159,8 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = open_.where(F.col("size") <= s.small).select("key", "rep", "n", "component", "low")
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, F.expr("x.key = y.key AND x.rep < y.rep AND x.component <> y.component AND x.rep <> x.low")).where(fits % ("x.n, y.n", "x.n, y.n"))
-    pairs = pairs.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).union(_blockwise(open_.where(F.col("size") > s.small), members, s)).distinct()
-    more = materialize(_verified(pairs, docs, s))
+    pairs = pairs.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
+    more = materialize(_verified(pairs, docs, s).union(_blockwise(open_.where(F.col("size") > s.small), members, docs, s)))
     last = first if more.isEmpty() else components(links.union(more))
     out = seen.select("id", "n").join(last.withColumnRenamed("node", "id"), "id", "left")
     # A document without a link is its own component.
@@ -168,30 +170,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _blockwise(open_: DataFrame, members: DataFrame, s: MinHashSettings) -> DataFrame:
-    """Candidate pairs of large buckets: members outside the smallest member's component against all, a block against a block per task."""
-    blocks = F.ceil(F.col("size") / s.block).cast("int")
-    rows = open_.select("key", "rep", "n", "component", blocks.alias("parts"), (F.col("component") != F.col("low_component")).alias("other"))
-    rows = rows.join(members.select("rep", "sketch"), "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+def _sets(docs: DataFrame, s: MinHashSettings) -> DataFrame:
+    """(rep, n, set): the sorted shingle hashes of each document, 8 bytes each."""
+    schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 20):
+                sets = shingle_sets(data, offsets, s.shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _blockwise(open_: DataFrame, members: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
+    """Links in large buckets: members outside the smallest member's component against all.
+
+    A pair that shares several buckets is looked at in the first of them.
+    """
+    open_ = open_.select("key", "rep", "n", "component", "low_component", F.ceil(F.greatest(F.col("size") / s.block, F.col("volume") * 8 / s.block_bytes)).cast("int").alias("parts"))
+    wanted = open_.select(F.col("rep").alias("id")).distinct()
+    sets = _sets(docs.join(wanted, "id", "left_semi"), s).dropDuplicates(["rep", "n"])
+    detail = members.select("rep", "n", "bands", "sketch").join(sets, ["rep", "n"])
+    rows = open_.withColumn("other", F.col("component") != F.col("low_component")).join(detail, ["rep", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    asked = rows.where("other").select("key", "rep", "n", "component", "sketch", F.lit(True).alias("asked"), F.col("part").alias("i"), F.explode(every).alias("j"))
-    held = rows.select("key", "rep", "n", "component", "sketch", F.lit(False).alias("asked"), F.explode(every).alias("i"), F.col("part").alias("j"))
+    columns = ("key", "rep", "n", "component", "bands", "sketch", "set")
+    asked = rows.where("other").select(*columns, F.lit(True).alias("asked"), F.col("part").alias("i"), F.explode(every).alias("j"))
+    held = rows.select(*columns, F.lit(False).alias("asked"), F.explode(every).alias("i"), F.col("part").alias("j"))
     kind = members.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    names = [f.name for f in schema.fields]
 
     def compare(table: pa.Table) -> pa.Table:
         asked = np.asarray(table["asked"])
-        cols = {c: table[c].to_numpy(zero_copy_only=False) for c in ("rep", "n", "component")}
+        rep, n = table["rep"].to_pylist(), table["n"].to_numpy()
         sketch = np.stack([np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()])
-        q, d = np.flatnonzero(asked), np.flatnonzero(~asked)
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        here = bands == table["key"][0].as_py()
+        band = np.argmax(here, axis=1)
+        names = {}
+        group = np.array([names.setdefault(c, len(names)) for c in table["component"].to_pylist()])
         a, b = [], []
-        for i in q:
-            n = cols["n"][d]
-            near = d[(cols["component"][d] != cols["component"][i]) & (100 * np.minimum(n, cols["n"][i]) >= s.percent * np.maximum(n, cols["n"][i]))]
-            near = near[(sketch[near] == sketch[i]).sum(axis=1) >= s.agree]
-            a += [max(cols["rep"][i], cols["rep"][j]) for j in near]
-            b += [min(cols["rep"][i], cols["rep"][j]) for j in near]
-        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)}).select(names)
+        d = np.flatnonzero(~asked)
+        for i in np.flatnonzero(asked).tolist():
+            near = d[(group[d] != group[i]) & (100 * np.minimum(n[d], n[i]) >= s.percent * np.maximum(n[d], n[i]))]
+            agree = (sketch[near] == sketch[i]).sum(axis=1)
+            first = np.argmax(bands[near] == bands[i], axis=1) if near.size else near
+            ok = (agree >= s.agree) & (first == band[i])
+            for j in near[ok][np.argsort(-agree[ok], kind="stable")].tolist():
+                if group[j] == group[i]:
+                    continue
+                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if 100 * both >= s.percent * (n[i] + n[j] - both):
+                    group[group == group[j]] = group[i]
+                    a.append(max(rep[i], rep[j]))
+                    b.append(min(rep[i], rep[j]))
+        kind = table.schema.field("rep").type
+        return pa.Table.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
     return asked.union(held).groupBy("key", "i", "j").applyInArrow(compare, schema)

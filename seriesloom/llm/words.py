@@ -34,12 +34,16 @@ _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers[0].size < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if _powers[0].size >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 5 << 20:  # tables for a single very long text are not kept
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``max_bytes``: first row, end row, bytes, offsets.
 
     NULL counts as empty. A longer text makes a slice of its own.
