@@ -9,8 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
+from seriesloom.llm.chat import chat_windows, read_back
 from seriesloom.llm.imatch import compare_edited, lexicon
+from seriesloom.llm.langid import fit_languages, identify_languages
 from seriesloom.llm.minhash import near_duplicates
+from seriesloom.llm.quality import fit_quality, score_quality
 from seriesloom.llm.repair import read_shards, write_shards
 from seriesloom.session import ensure_checkpoint_dir
 
@@ -82,3 +85,31 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return compare_edited(docs, lexicon(docs, "text"))
+
+
+
+@query("op3_chat_windows")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return read_back(chat_windows(turns))
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf, "labels"), _remainder(3) != 1)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs, _remainder(4) != 2)
+    return identify_languages(docs.drop("lang"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
