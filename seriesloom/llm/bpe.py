@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
 from seriesloom.llm.words import span_hashes, text_slices
-from seriesloom.session import ensure_checkpoint_dir
+from seriesloom.session import ensure_checkpoint_dir, materialize
 
 # Kinds of bytes: white space, letter, digit, other. 0xC3 leads the letters of Latin-1 (and two signs, see _simple_rows).
 _KIND = np.full(256, 3, np.uint8)
@@ -38,9 +38,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path = path
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self._library = None
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *special.values()])
@@ -62,6 +60,15 @@ class Vocabulary:
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.token_offsets = np.concatenate([[0], np.cumsum(lengths)])
 
+    @property
+    def library(self) -> Tokenizer:
+        """The tokenizers library's own form, made when it is first needed."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def _hash_pairs(self, keys: np.ndarray, made: np.ndarray) -> None:
         """Open addressing; the position in ``made`` is the rank."""
         self.mask = (1 << max(4, int(len(keys) * 4).bit_length())) - 1
@@ -452,6 +459,21 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, size: int) -> list[bytes]:
+    """At most ``size`` of the most frequent words: the largest number whose least count can be told from a small histogram of counts.
+
+    Only the histogram (eight bars per doubling) and the chosen words reach the driver, however many tasks there are.
+    """
+    counts = materialize(counts)
+    bar = F.floor(F.log2("n") * 8).cast("int")
+    room, least = size, None
+    for r in counts.groupBy(bar.alias("bar")).count().orderBy(F.desc("bar")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["bar"]
+    return [] if least is None else [bytes(r["word"]) for r in counts.where(bar >= least).select("word").collect()]
+
+
 def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
     """Write the lexicon to the shared folder and give each executor a copy, which its tasks map into memory. Returns its name."""
     ensure_checkpoint_dir(spark)
@@ -470,20 +492,19 @@ def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 40_000) -> DataFrame:
     """``id_col`` and ``ids``: the ids of every whole text as little-endian unsigned 32-bit integers, one row per input row.
 
-    The ``lexicon_size`` most frequent words of all texts (of at most 64 bytes, so the file's size is bounded) are compiled with
+    At most ``lexicon_size`` of the most frequent words of all texts (of at most 64 bytes, so the file's size is bounded) are compiled with
     their ids into the automaton; other words are merged exactly. NULL and empty texts have no ids; an empty table gives an empty one;
     other columns are left out.
     """
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
-    top = word_counts(docs, text_col, path).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
-    file = ship_lexicon(spark, [bytes(r["word"]) for r in top], path)
+    file = ship_lexicon(spark, frequent_words(word_counts(docs, text_col, path), lexicon_size), path)
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder_of(path, file)
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1), 2 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 20):
                 ids, bounds = encoder.encode(data, offsets)
                 where = pa.py_buffer((bounds * 4).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), hi - lo, [None, where, pa.py_buffer(ids.astype("<u4"))])
