@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
 from seriesloom.llm.chat import chat_windows, read_back
+from seriesloom.llm.decontam import contaminated
 from seriesloom.llm.imatch import compare_edited, lexicon
 from seriesloom.llm.langid import fit_languages, identify_languages
+from seriesloom.llm.linedup import dedupe_lines
 from seriesloom.llm.minhash import near_duplicates
 from seriesloom.llm.quality import fit_quality, score_quality
 from seriesloom.llm.repair import read_shards, write_shards
@@ -113,3 +115,40 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs, _remainder(4) != 2)
     return identify_languages(docs.drop("lang"), model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_LINES_SQL = r"""
+raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, unnest(range(len(parts))) AS line, trim(unnest(parts), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM raw),
+cl AS (SELECT t, min((doc_id, line)) AS first, length(t) AS n FROM ln WHERE t <> '' GROUP BY t),
+v AS (SELECT t, first, n, unnest(range(n)) AS i FROM cl WHERE n >= 16),
+d AS (SELECT t, first, n, i, substr(t, 1, i) || substr(t, i + 2) AS x FROM v),
+pairs AS (
+  SELECT a.t, a.first, b.t AS u, b.first AS other FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.n = b.n AND a.t <> b.t
+  UNION ALL SELECT a.t, a.first, c.t, c.first FROM d a JOIN cl c ON a.x = c.t WHERE c.n >= 16
+  UNION ALL SELECT c.t, c.first, a.t, a.first FROM d a JOIN cl c ON a.x = c.t WHERE c.n >= 16),
+near AS (SELECT DISTINCT t FROM pairs WHERE other < first AND levenshtein(t, u) <= 1),
+gone AS (
+  SELECT ln.doc_id, ln.line FROM ln JOIN cl USING (t) LEFT JOIN near USING (t)
+  WHERE near.t IS NOT NULL OR cl.first <> (ln.doc_id, ln.line)),
+g AS (SELECT doc_id, count(*) AS n_removed, list(line) AS lines FROM gone GROUP BY doc_id),
+deduped AS (
+  SELECT documents.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(g.n_removed, 0) AS n_removed,
+    CASE WHEN g.lines IS NULL THEN text
+      ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda p, k: NOT list_contains(g.lines, k - 1)), chr(10)) END AS text
+  FROM documents LEFT JOIN g USING (doc_id))"""
+
+
+@query("op5_line_dedup", f"WITH {_LINES_SQL} SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS text_sha256 FROM deduped")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    out = dedupe_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, with the test items that they hold."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    hits = contaminated(docs, _table(spark, sf, "benchmark")).select("doc_id", "item_ids", "distances").dropDuplicates(["doc_id"])
+    n = F.size(F.coalesce("item_ids", F.array().cast("array<long>")))
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_ids", "distances")
