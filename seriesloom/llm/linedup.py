@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesloom.llm.ngrams import code_points
 from seriesloom.llm.words import _BASE, _BASE_INVERSE, _power_tables, mix, text_slices
+from seriesloom.operators.joins import keyed_join
 from seriesloom.session import materialize
 
 
 @dataclass(frozen=True)
 class LineSettings:
-    """``near_chars``: shorter lines are compared exactly only. ``pieces``: into so many a line is cut to find out which lines may have a neighbour, and where."""
+    """``near_chars``: shorter lines are compared exactly only.
+
+    Lines within one edit share all but one piece of any cut. Cut in two this tells which lines may have a neighbour, cut in ``pieces`` it tells where the edit lies.
+    """
 
     near_chars: int = 16
     pieces: int = 8
@@ -90,9 +94,9 @@ def _line_table(docs: DataFrame, s: LineSettings) -> DataFrame:
                 which = np.flatnonzero(x.size)
                 raw = x.part(x.start[which], x.start[which] + x.size[which]) + x.size[which].astype(np.uint64)
                 near = np.flatnonzero(x.size[which] >= s.near_chars)
-                keys = np.concatenate([x.piece_keys(which[near], s.pieces, short) for short in (0, 1)], axis=1)
+                keys = np.concatenate([x.piece_keys(which[near], 2, short) for short in (0, 1)], axis=1)
                 length = np.zeros(which.size, np.int32)
-                length[near] = 2 * s.pieces
+                length[near] = 4
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), _column(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(x.row[which])), pa.array(x.number[which]), _column(mix(raw ^ _u(0x51ED270B))), _column(mix(raw + _u(0x3C6EF372FE94F82B))), column], names=schema.names
@@ -154,34 +158,53 @@ def _deletions(sums, down, start, size, which, a, b, q, role):
 
 
 def _pick_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, line, text, open) of the lines that ``asked`` (id, wanted: array of (line, open)) names."""
-    rows = docs.join(asked, "id").select("id", "text", F.transform("wanted", lambda w: w["line"]).alias("lines"), F.transform("wanted", lambda w: w["open"]).alias("open"))
-    schema = T.StructType([docs.schema["id"], T.StructField("line", T.LongType()), T.StructField("text", T.StringType()), T.StructField("open", T.LongType())])
+    """(id, line, text) of the lines that ``asked`` (id, wanted: array of line numbers) names."""
+    rows = keyed_join(docs, asked, ["id"], "inner").select("id", "text", "wanted")
+    schema = T.StructType([docs.schema["id"], T.StructField("line", T.LongType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 found = []
-                for i, text, lines, opened in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
+                for i, text, lines in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
                     parts = (text or "").split("\n")
-                    found += [(i, k, parts[k].strip(" \t\v\f\r"), o) for k, o in zip(lines, opened) if k < len(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((batch.column(0).type, pa.int64(), pa.string(), pa.int64()))], names=schema.names)
+                    found += [(i, k, parts[k].strip(" \t\v\f\r")) for k in lines if k < len(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((batch.column(0).type, pa.int64(), pa.string()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _fine_keys(held: DataFrame, s: LineSettings) -> DataFrame:
+    """(id, line, slot, key): what every line holds but for one of its pieces, cut at its own length (slot q) and as a line one shorter (slot pieces + q)."""
+    schema = T.StructType([held.schema["id"], held.schema["line"], T.StructField("slot", T.IntegerType()), T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(2), 1 << 20):
+                x = Lines(data, offsets)
+                keys = np.concatenate([x.piece_keys(np.arange(hi - lo), s.pieces, short) for short in (0, 1)], axis=1)
+                who = pa.array(np.repeat(np.arange(hi - lo), 2 * s.pieces))
+                slot = pa.array(np.tile(np.arange(2 * s.pieces, dtype=np.int32), hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(who), batch.column(1).slice(lo, hi - lo).take(who), slot, _column(keys.reshape(-1))], names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
 def repeated_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
     """(id, line) of all lines that repeat an earlier one, exactly or within one edit. ``docs`` holds id and text."""
     s = settings
     lines = materialize(_line_table(docs.where("id IS NOT NULL AND text IS NOT NULL"), s))
-    classes = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.first("keys", ignorenulls=True).alias("keys")))
-    keyed = classes.where("keys IS NOT NULL").select("h1", "first", F.posexplode("keys").alias("slot", "key"))
+    at = F.struct("id", "line")
+    # Equal lines are one class from here on; its first line stands for it.
+    classes = materialize(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.first("keys", ignorenulls=True).alias("keys")))
+    keyed = classes.where("keys IS NOT NULL").select("h1", F.col("first.id").alias("id"), F.col("first.line").alias("line"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    asked = keyed.join(shared, "key").groupBy("first").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("open"))
-    asked = asked.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "open")).alias("wanted"))
+    asked = keyed.select("id", "line", "key").join(shared, "key").groupBy("id").agg(F.collect_set("line").alias("wanted"))
     held = materialize(_pick_lines(docs, asked).dropDuplicates(["id", "line"]))
-    variants = materialize(_variants(held, s))
-    at = F.struct("id", "line")
+    fine = materialize(_fine_keys(held, s))
+    shared = fine.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("key")
+    opened = fine.join(shared, "key").groupBy("id", "line").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("open"))
+    variants = materialize(_variants(held.join(opened, ["id", "line"]).select("id", "line", "text", "open"), s))
     least = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, at)).alias(f"r{r}") for r in range(3)])
     least = least.where("r0 IS NOT NULL OR (r1 IS NOT NULL AND r2 IS NOT NULL)")
     partner = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
@@ -189,7 +212,7 @@ def repeated_lines(docs: DataFrame, settings: LineSettings = LineSettings()) ->
     mine = held.select("id", "line", F.col("text").alias("mine"))
     theirs = held.select(F.col("id").alias("oid"), F.col("line").alias("oline"), F.col("text").alias("theirs"))
     near = found.select("id", "line", F.col("other.id").alias("oid"), F.col("other.line").alias("oline")).join(mine, ["id", "line"]).join(theirs, ["oid", "oline"])
-    near = near.where(F.levenshtein("mine", "theirs", 1).between(0, 1)).select(F.struct("id", "line").alias("first"), F.lit(True).alias("near"))
+    near = near.where(F.levenshtein("mine", "theirs", 1).between(0, 1)).select(at.alias("first"), F.lit(True).alias("near"))
     marked = classes.select("h1", "h2", "first").join(near, "first", "left")
     return lines.select("id", "line", "h1", "h2").join(marked, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") != at)).select("id", "line")
 
@@ -202,12 +225,13 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not. Rows of one id count as one document. Rows with a NULL id or text stay as they are, with 0 lines for NULL texts. Long texts are read whole.
 
     Equal lines meet in a pre-aggregated minimum, and so do equal deletion variants: all lines of a group of substitutions at one place are
-    within one edit of each other, so the earliest is all that is needed and no pairs are formed.
+    within one edit of each other, so the earliest is all that is needed and no pairs are formed. What is to be looked up or removed per document is
+    broadcast while its measured size is small, and joined by a shuffle beyond that.
     """
     rows = docs.drop("n_lines", "n_removed")
     gone = repeated_lines(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), settings)
     gone = gone.distinct().groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list("line").alias("_gone"))
-    joined = rows.join(gone, rows[id_col] == gone["_gone_id"], "left").drop("_gone_id")
+    joined = keyed_join(rows.withColumn("_gone_id", F.col(id_col)), gone, ["_gone_id"]).drop("_gone_id")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains("_gone", k.cast("long"))), "\n")
     return joined.select(

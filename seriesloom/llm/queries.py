@@ -15,6 +15,7 @@ from seriesloom.llm.imatch import compare_edited, lexicon
 from seriesloom.llm.langid import fit_languages, identify_languages
 from seriesloom.llm.linedup import dedupe_lines
 from seriesloom.llm.minhash import near_duplicates
+from seriesloom.llm.pii import KINDS, personal_data, spans_text
 from seriesloom.llm.quality import fit_quality, score_quality
 from seriesloom.llm.repair import read_shards, write_shards
 from seriesloom.session import ensure_checkpoint_dir
@@ -152,3 +153,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     hits = contaminated(docs, _table(spark, sf, "benchmark")).select("doc_id", "item_ids", "distances").dropDuplicates(["doc_id"])
     n = F.size(F.coalesce("item_ids", F.array().cast("array<long>")))
     return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_ids", "distances")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data(_table(spark, sf, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
