@@ -353,10 +353,7 @@ class Encoder:
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         if self.library_only:
-            texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
-            found = [e.ids for k in range(0, len(texts), 4096) for e in self.v.library.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-            counts = np.array([len(x) for x in found], np.int64)
-            ids = np.array([i for x in found for i in x], np.uint32)
+            ids, counts = self._by_library([data[a:b].tobytes().decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())])
         else:
             ids, counts = self.v.merge(data, starts, ends)
         at = self.pool.size + np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
@@ -367,6 +364,24 @@ class Encoder:
         self.known_at = np.concatenate([self.known_at, at])[order]
         self.known_count = np.concatenate([self.known_count, counts])[order]
 
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words. A blank and letters stay one word wherever they stand, so such words are encoded as one text of many."""
+        found: list[np.ndarray | None] = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        for lo in range(0, len(plain), 4096):
+            group = plain[lo : lo + 4096]
+            e = self.v.library.encode("".join(words[k] for k in group), add_special_tokens=False)
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
+            if size.size == len(group):
+                for k, ids in zip(group, np.split(np.array(e.ids, np.uint32), np.cumsum(size)[:-1])):
+                    found[k] = ids
+        rest = [k for k, f in enumerate(found) if f is None]
+        for lo in range(0, len(rest), 4096):
+            group = rest[lo : lo + 4096]
+            for k, e in zip(group, self.v.library.encode_batch_fast([words[k] for k in group], add_special_tokens=False)):
+                found[k] = np.array(e.ids, np.uint32)
+        return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, flat, and where each row begins."""
         starts = split_words(data, offsets, self.v)

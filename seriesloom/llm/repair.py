@@ -177,7 +177,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     s = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = _encoder_of(tokenizer, None, library_only=True), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder_of(tokenizer, None, library_only=True, memory=1_000_000), TaskContext.get().partitionId(), 0
         ids, counts, names, size = [], [], [], 0
 
         def flush():
