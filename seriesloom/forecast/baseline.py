@@ -8,12 +8,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.clean import add_steps
-from seriesloom.operators.index import IDX, LEN, order_series
+from seriesloom.operators.index import IDX, LEN, order_series, series_order
 from seriesloom.operators.joins import keyed_join, series_join, side_join
 from seriesloom.operators.profile import present
 from seriesloom.spec import SeriesSpec
 
-#: Row-number filters up to this size are applied before the shuffle by Spark itself.
+#: Up to this many rows per series are picked by row number, which Spark limits before the shuffle; more are picked by position.
 _GROUP_LIMIT = 1000
 #: Fixed value: half width of the simple 95 % band in deviations.
 Z95 = 1.96
@@ -27,13 +27,14 @@ def future_dates(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str =
 
 
 def last_rows(df: DataFrame, spec: SeriesSpec, k: int) -> DataFrame:
-    """The last ``k`` rows of each series with ``pos`` 0.. (oldest first) and their number ``m``."""
-    order = [F.col(spec.ts).desc(), *[F.col(c).desc() for c in spec.tie]]
-    if not spec.by:
-        tail = df.orderBy(*order).limit(k)
-        top = tail.withColumn("_rn", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
-    elif k <= _GROUP_LIMIT:
-        top = df.withColumn("_rn", F.row_number().over(W.partitionBy(*spec.by).orderBy(*order))).filter(F.col("_rn") <= k)
+    """The last ``k`` rows of each series with ``pos`` 0.. (oldest first) and their number ``m``.
+
+    Rows of one timestamp are told apart by the tie columns, or else by the content of the row, for every ``k``.
+    """
+    order = [c.desc() for c in series_order(df, spec)]
+    if k <= _GROUP_LIMIT:
+        tail = df if spec.by else df.orderBy(*order).limit(k)
+        top = tail.withColumn("_rn", F.row_number().over(W.partitionBy(*(spec.by or [F.lit(0)])).orderBy(*order))).filter(F.col("_rn") <= k)
     else:
         rows = order_series(df, spec).indexed()
         top = rows.filter(F.col(IDX) >= F.col(LEN) - k).withColumn("_rn", F.col(LEN) - F.col(IDX)).drop(IDX, LEN)
@@ -89,14 +90,14 @@ def state_update(state: DataFrame, new: DataFrame, spec: SeriesSpec, period: int
 
 def fc_intervals(forecast: DataFrame, history: DataFrame, spec: SeriesSpec, z: float = Z95) -> DataFrame:
     """A band of ``z`` sample deviations of the history around the forecast."""
-    sd = history.groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
+    sd = present(history, spec).groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
     out = series_join(forecast, sd, spec.by)
     return out.withColumn("lo95", F.col("yhat") - z * F.col("_sd")).withColumn("hi95", F.col("yhat") + z * F.col("_sd")).drop("_sd")
 
 
 def fc_intervals_multi(forecast: DataFrame, history: DataFrame, spec: SeriesSpec, levels: Sequence[float] = (0.95, 0.8)) -> DataFrame:
     """One row per forecast and level, with ``level``, ``lo`` and ``hi``."""
-    sd = history.groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
+    sd = present(history, spec).groupBy(*spec.by).agg(F.stddev_samp(spec.y).alias("_sd"))
     table = F.array(*[F.struct(F.lit(float(p)).alias("level"), F.lit(NormalDist().inv_cdf(0.5 + p / 2)).alias("z")) for p in levels])
     out = series_join(forecast, sd, spec.by).withColumn("_z", F.explode(table))
     half = F.col("_z.z") * F.col("_sd")

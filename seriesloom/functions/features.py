@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.index import BLK, IDX, LEN, OWN, halo_blocks, indexed_rows, windowed
-from seriesloom.operators.joins import attach, keyed_join
+from seriesloom.operators.joins import attach, keyed_join, number_or_null
 from seriesloom.operators.series import modal_step
 from seriesloom.spec import SeriesSpec
 
@@ -20,8 +20,9 @@ def lag_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1, 7, 1
 def _rolling(y: str, w, size: int, shift: int) -> tuple[Column, Column]:
     """Mean and sample deviation over ``size`` rows, NULL until all of them are present."""
     frame = w.rowsBetween(-(size - 1) - shift, -shift)
-    full = F.count(y).over(frame) == size
-    return F.when(full, F.avg(y).over(frame)), F.when(full, F.stddev_samp(y).over(frame))
+    v = number_or_null(y)
+    full = F.count(v).over(frame) == size
+    return F.when(full, F.avg(v).over(frame)), F.when(full, F.stddev_samp(v).over(frame))
 
 
 def rolling_features(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (7, 14, 30)) -> DataFrame:
@@ -65,7 +66,7 @@ def _ewm_columns(spec: SeriesSpec, span: float, reach: int) -> tuple[Column, Col
     place = F.col(IDX) - (F.col(BLK) + 1) * F.lit(reach)
     weight = F.pow(F.lit(r), -place.cast("double"))
     w = W.partitionBy(*spec.by, BLK).orderBy(IDX).rowsBetween(W.unboundedPreceding, -1)
-    y = F.col(spec.y)
+    y = number_or_null(spec.y)
     return F.sum(y * weight).over(w), F.sum(F.when(y.isNotNull(), weight)).over(w)
 
 

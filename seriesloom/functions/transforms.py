@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.operators.joins import attach
+from seriesloom.operators.joins import attach, number_or_null
 from seriesloom.session import materialize
 from seriesloom.spec import SeriesSpec
 
@@ -31,19 +31,21 @@ def tx_box_cox(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def tx_standardize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Zero mean and unit population deviation; a constant series becomes 0."""
-    stats = df.groupBy(*spec.by).agg(F.avg(spec.y).alias("_mu"), F.stddev_pop(spec.y).alias("_sd"))
+    """Zero mean and unit population deviation; a constant series becomes 0, NaN becomes NULL."""
+    y = number_or_null(spec.y)
+    stats = df.groupBy(*spec.by).agg(F.avg(y).alias("_mu"), F.stddev_pop(y).alias("_sd"))
     out = attach(df, stats, spec.by)
     scale = F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
-    return _put(out, df.columns, spec.y, (F.col(spec.y) - F.col("_mu")) / scale)
+    return _put(out, df.columns, spec.y, (y - F.col("_mu")) / scale)
 
 
 def tx_minmax(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """To [0, 1]; a series without range becomes 0."""
-    stats = df.groupBy(*spec.by).agg(F.min(spec.y).alias("_a"), F.max(spec.y).alias("_b"))
+    """To [0, 1]; a series without range becomes 0, NaN becomes NULL."""
+    y = number_or_null(spec.y)
+    stats = df.groupBy(*spec.by).agg(F.min(y).alias("_a"), F.max(y).alias("_b"))
     out = attach(df, stats, spec.by)
     width = F.col("_b") - F.col("_a")
-    return _put(out, df.columns, spec.y, (F.col(spec.y) - F.col("_a")) / F.when(width == 0, 1.0).otherwise(width))
+    return _put(out, df.columns, spec.y, (y - F.col("_a")) / F.when(width == 0, 1.0).otherwise(width))
 
 
 def yeo_johnson(x: Column, lam: Column) -> Column:

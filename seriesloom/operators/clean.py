@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seriesloom.operators.index import IDX, POS, SEG, order_series
-from seriesloom.operators.joins import attach, keyed_join, series_join, side_join
+from seriesloom.operators.joins import attach, keyed_join, number_or_null, series_join, side_join
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.operators.series import NTZ, dedupe_keep_last, micros, modal_step
 from seriesloom.spec import SeriesSpec
@@ -28,7 +28,7 @@ _CHUNK = 4096
 
 def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN is a missing value: make it NULL so that aggregates skip it."""
-    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in columns})
+    return df.withColumns({c: number_or_null(c) for c in columns})
 
 
 def missing_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,13 +115,12 @@ def date_gaps(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame:
 def absent_dates(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame:
     """The grid dates that have no row."""
     keys = [*spec.by, spec.ts]
-    return date_grid(df, spec, freq).join(df.select(*keys).distinct(), keys, "left_anti")
+    return side_join(date_grid(df, spec, freq), df.select(*keys).distinct(), keys, "left_anti")
 
 
 def fill_missing_dates(df: DataFrame, spec: SeriesSpec, freq: str = "D") -> DataFrame:
-    """Insert rows for absent grid dates; their other columns are NULL."""
-    keys = [*spec.by, spec.ts]
-    return date_grid(df, spec, freq).join(df, keys, "full_outer").select(*df.columns)
+    """Insert rows for absent grid dates; their other columns are NULL. A NULL group is a series like any other."""
+    return df.unionByName(absent_dates(df, spec, freq), allowMissingColumns=True)
 
 
 def fill_ordered(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], method: str,
@@ -236,6 +235,6 @@ def reindex_fill(df: DataFrame, grid: DataFrame, spec: SeriesSpec, columns: Sequ
     columns = list(columns)
     keys = [*spec.by, spec.ts]
     last = dedupe_keep_last(df, spec).select(*keys, *columns)
-    on_grid = grid.select(*keys).join(last, keys, "left").select(*keys, *columns)
+    on_grid = side_join(grid.select(*keys), last, keys).select(*keys, *columns)
     plain = SeriesSpec(ts=spec.ts, y=spec.y, group=spec.group)
     return fill_backward(fill_forward(on_grid, plain, columns), plain, columns)

@@ -16,7 +16,7 @@ def regressor_lookup(grid: DataFrame, regressors: DataFrame, spec: SeriesSpec, c
     columns = list(columns)
     keys = [*spec.by, spec.ts]
     means = regressors.groupBy(*spec.by).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    on_grid = grid.join(regressors.select(*keys, *columns), keys, "left").select(*grid.columns, *columns)
+    on_grid = side_join(grid, regressors.select(*keys, *columns), keys).select(*grid.columns, *columns)
     plain = SeriesSpec(ts=spec.ts, y=spec.y, group=spec.group)
     filled = fill_backward(fill_forward(on_grid, plain, columns), plain, columns)
     out = attach(filled, means, spec.by)

@@ -71,6 +71,12 @@ def order_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return Ordered(rows, by)
 
 
+def series_order(df: DataFrame, spec: SeriesSpec) -> list[Column]:
+    """Order within a series: time, then the tie columns or else a hash of the row's content."""
+    rest = [c for c in df.columns if c not in (*spec.by, spec.ts)]
+    return [F.col(spec.ts), *([F.col(c) for c in spec.tie] or ([F.xxhash64(*rest)] if rest else []))]
+
+
 def order_series(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None,
                  partitions: int | None = None) -> Ordered:
     """Order a series by time; ties by ``spec.tie`` or else by the content of the row."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.session import materialize, written_bytes
 
@@ -13,6 +13,12 @@ from seriesloom.session import materialize, written_bytes
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def number_or_null(c: str | Column) -> Column:
+    """The value, or NULL where it is NaN."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
 def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a table of measured size on null-safe keys.

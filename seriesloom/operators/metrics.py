@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.operators.index import windowed
-from seriesloom.operators.joins import side_join
+from seriesloom.operators.joins import number_or_null, side_join
 from seriesloom.operators.quantiles import exact_quantiles
 from seriesloom.spec import SeriesSpec
 
@@ -16,8 +16,9 @@ METRICS = ("mae", "rmse", "mape", "smape", "r2", "medae", "mase")
 
 
 def align_actual_pred(actuals: DataFrame, preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs of actual and predicted value that share the keys (series and timestamp)."""
-    return actuals.join(preds, list(keys), "inner").filter(F.col(ACTUAL).isNotNull() & F.col(PRED).isNotNull())
+    """Pairs of actual and predicted value that share the keys (series and timestamp). NULL groups meet; missing values and NaN make no pair."""
+    there = [number_or_null(c).isNotNull() for c in (ACTUAL, PRED)]
+    return side_join(actuals, preds, keys, "inner").filter(there[0] & there[1])
 
 
 def residuals(df: DataFrame) -> DataFrame:

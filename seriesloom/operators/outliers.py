@@ -64,11 +64,10 @@ def outlier_isolation_forest(df: DataFrame, spec: SeriesSpec, contamination: flo
                              trees: int = 100, sample: int = 256) -> DataFrame:
     """Adds ``score`` (higher is stranger) and ``is_outlier`` for the top share of scores.
 
-    A bounded hash-chosen pool of values per series grows the trees. The sum of the
-    trees is one step function of the value, which rows look up in blocks of bounded
+    Every tree draws its own ``sample`` values from all rows of its series (all of a series with fewer), so the per-tree subsample of the
+    method is the only bound. The sum of the trees is one step function of the value, which rows look up in blocks of bounded
     size, so neither a hot series nor a large forest meets in one task.
     """
-    pool = trees * sample
     y = F.col(spec.y).cast("double")
     ok = y.isNotNull() & ~F.isnan(y)
     sizes = df.groupBy(*spec.by).agg(F.count_if(ok).alias("_cnt"))
@@ -77,34 +76,39 @@ def outlier_isolation_forest(df: DataFrame, spec: SeriesSpec, contamination: flo
     rows = materialize(attach(df, sizes, spec.by)).withColumn("_rid", F.monotonically_increasing_id())
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_rid")), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("_draw", draw).drop("_rid")
-    picked = rows.filter(ok & (F.col("_draw") * F.col("_cnt") < float(pool)))
+    # Each row joins each tree with a chance that gives a tree a little more than ``sample`` rows; the trees' draws are independent hashes.
+    chance = F.least(F.lit(1.0), F.lit(sample + 6.0 * sample**0.5) / F.greatest(F.col("_cnt"), F.lit(1)))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_draw")), F.lit(1 << 30)) < chance * float(1 << 30))
+    picked = rows.filter(ok).withColumn("_tree", F.explode(drawn))
     names = list(spec.by)
     id_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields) if names else ""
     prefix = id_fields + ", " if names else ""
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
-        values = np.sort(pdf["_v"].to_numpy(dtype=float))
-        m = min(sample, len(values))
+        pdf = pdf.sort_values(["_tree", "_v", "_draw"])
+        pools = [pdf["_v"].to_numpy(dtype=float)[pdf["_tree"].to_numpy() == t] for t in range(trees)]
+        pools = [p for p in pools if len(p)]
+        m = min(sample, max(len(p) for p in pools))
         limit = int(np.ceil(np.log2(max(m, 2))))
         all_cuts, steps = [], []
         base = 0.0
-        for _ in range(trees):
+        for values in pools:
             cuts, leaves = [], []
-            _grow(np.sort(rng.choice(values, m, replace=False)), 0, limit, rng, cuts, leaves)
+            _grow(np.sort(rng.choice(values, min(m, len(values)), replace=False)), 0, limit, rng, cuts, leaves)
             base += leaves[0]
             all_cuts.extend(cuts)
             steps.extend(np.diff(leaves))
         order = np.argsort(all_cuts, kind="stable")
         depth = base + np.concatenate([[0.0], np.cumsum(np.asarray(steps)[order])])
         norm = float(_average_path(m)) or 1.0
-        score = np.power(2.0, -(depth / trees) / norm)
+        score = np.power(2.0, -(depth / len(pools)) / norm)
         out = {n: [k] for n, k in zip(names, key)}
         out["_cuts"] = [np.asarray(all_cuts)[order].tolist()]
         out["_scores"] = [score.tolist()]
         return pd.DataFrame(out)
 
-    forest = picked.select(*names, y.alias("_v"))
+    forest = picked.select(*names, "_tree", "_draw", y.alias("_v"))
     keys = names or [F.lit(0).alias("_all")]
     forest = forest.groupBy(*keys).applyInPandas(
         (lambda key, pdf: grow(key, pdf)), schema=f"{prefix}_cuts array<double>, _scores array<double>"

@@ -114,11 +114,13 @@ def _five(rows: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
 def first_outliers(df: DataFrame, spec: SeriesSpec, k: int, threshold: float = 1.5) -> DataFrame:
     """The first ``k`` IQR outliers of each series, with their 0-based place among the present rows.
 
-    The row-number filter is applied before the shuffle as well, so each task sends at most k rows per series.
+    The row-number filter, or without a group the limit, is applied before the shuffle as well, so each task sends at most k rows per series.
     """
     rows = present(df, spec)
     placed = attach(order_series(rows, spec).indexed(), iqr_bounds(rows, spec, threshold), spec.by)
     out = placed.filter((F.col(spec.y) < F.col("lower")) | (F.col(spec.y) > F.col("upper")))
+    if not spec.by:
+        out = out.orderBy(IDX).limit(k)
     w = W.partitionBy(*(spec.by or [F.lit(0)])).orderBy(IDX)
     return (
         out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)

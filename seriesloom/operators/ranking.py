@@ -6,16 +6,17 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from seriesloom.operators.joins import number_or_null
 from seriesloom.operators.metrics import METRICS
 
 
 def _order(metric: str) -> Column:
-    c = F.col(metric)
+    c = number_or_null(metric)
     return c.desc_nulls_last() if metric == "r2" else c.asc_nulls_last()
 
 
 def rank_models(scores: DataFrame, metric: str = "rmse", by: Sequence[str] = (), model: str = "model") -> DataFrame:
-    """Position of each model within ``by``; missing metrics rank last, names break ties.
+    """Position of each model within ``by``; missing metrics and NaN rank last, names break ties.
 
     A partition holds one row per model, so its size is the number of models.
     """
@@ -24,7 +25,7 @@ def rank_models(scores: DataFrame, metric: str = "rmse", by: Sequence[str] = (),
 
 
 def average_over_groups(scores: DataFrame, model: str = "model", time: str | None = "training_time") -> DataFrame:
-    aggs = [F.avg(m).alias(m) for m in METRICS if m in scores.columns]
+    aggs = [F.avg(number_or_null(m)).alias(m) for m in METRICS if m in scores.columns]
     if time and time in scores.columns:
         aggs.append(F.sum(time).alias(time))
     return scores.groupBy(model).agg(F.count(F.lit(1)).alias("n_series"), *aggs)
@@ -43,7 +44,7 @@ def eval_summary(ranked: DataFrame, metric: str = "rmse", model: str = "model")
         F.max(F.when(F.col("rank") == 1, F.col(model))).alias("best_model"),
         F.max(F.when(F.col("rank") == 1, F.col(metric))).alias("best_value"),
     ]
-    aggs += [F.coalesce(F.avg(F.nullif(F.col(m), F.lit(0.0))), F.lit(0.0)).alias(f"avg_{m}") for m in METRICS if m in ranked.columns]
+    aggs += [F.coalesce(F.avg(F.nullif(number_or_null(m), F.lit(0.0))), F.lit(0.0)).alias(f"avg_{m}") for m in METRICS if m in ranked.columns]
     if "training_time" in ranked.columns:
         aggs.append(F.sum("training_time").alias("total_training_time"))
     return ranked.agg(*aggs)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seriesloom.operators.index import IDX, LEN, indexed_rows, windowed
+from seriesloom.operators.index import indexed_rows, series_order, windowed
 from seriesloom.spec import SeriesSpec
 
 NTZ = "timestamp_ntz"
@@ -69,12 +69,19 @@ def dedupe_keep_last(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def head_tail(df: DataFrame, spec: SeriesSpec, k: int = 3) -> DataFrame:
-    """First and last ``k`` rows of each series, with the part they belong to."""
-    rows = indexed_rows(df, spec)
-    first, last = F.col(IDX) < k, F.col(IDX) >= F.col(LEN) - k
-    part = F.explode(F.filter(F.array(F.when(first, F.lit("head")), F.when(last, F.lit("tail"))),
-                              lambda x: x.isNotNull()))
-    return rows.filter(first | last).withColumn("part", part).drop(IDX, LEN)
+    """First and last ``k`` rows of each series, with the part they belong to.
+
+    Each end is a row-number filter (a limit without a group) that Spark also applies before the shuffle.
+    """
+    order = series_order(df, spec)
+
+    def end(part: str, by_order: list[Column]) -> DataFrame:
+        if not spec.by:
+            return df.orderBy(*by_order).limit(k).withColumn("part", F.lit(part))
+        w = W.partitionBy(*spec.by).orderBy(*by_order)
+        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn").withColumn("part", F.lit(part))
+
+    return end("head", order).unionByName(end("tail", [c.desc() for c in order]))
 
 
 def row_positions(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None) -> DataFrame:

@@ -181,14 +181,14 @@ def seasonality_decomp(df: DataFrame, spec: SeriesSpec, freqs: DataFrame | None
     """
     freqs = freqs if freqs is not None else series_frequency(df, spec)
     found = sorted(r[0] for r in freqs.select("period").distinct().collect())
-    strength = None
+    strength = freqs.select(*spec.by, F.lit(None).cast("double").alias("_st")).limit(0)
     for p in found:
         only = freqs.filter(F.col("period") == p)
         part = attach(df, only.select(*spec.by, F.lit(1).alias("_k")), spec.by, "inner").drop("_k") if spec.by else df
         dec = seasonal_decompose(part, spec, p, last=p * periods)
         s = dec.groupBy(*spec.by).agg(F.var_pop("seasonal").alias("_vs"), F.var_pop("resid").alias("_vr"))
         s = s.select(*spec.by, (F.col("_vs") / F.nullif(F.col("_vs") + F.col("_vr"), F.lit(0.0))).alias("_st"))
-        strength = s if strength is None else strength.unionByName(s)
+        strength = strength.unionByName(s)
     out = series_join(freqs, strength, spec.by)
     hit = F.coalesce(F.col("_st") > 0.1, F.lit(False))
     return out.select(*spec.by, "frequency", "period", hit.alias("decomp_detected"),

@@ -63,14 +63,23 @@ def written_bytes(df: DataFrame) -> int | None:
     return getattr(df, "_written_bytes", None)
 
 
+def _value_bytes(c: Column, kind: T.DataType) -> Column:
+    """Rough size of a value: 16, and the real length of all strings, arrays and maps in it, at any depth."""
+    fixed = F.lit(16).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return fixed + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, f: a + _value_bytes(c[f.name], f.dataType), kind.fields, fixed)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            inner = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _value_bytes(x, kind.elementType))
+        else:
+            inner = F.greatest(F.size(c), F.lit(0)).cast("long") * 16
+        return fixed + F.coalesce(inner, F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(c), T.ArrayType(kind.valueType))
+    return fixed
+
+
 def _row_bytes(df: DataFrame) -> Column:
-    """Rough size of a row in memory; strings and arrays count with their real length."""
-    fixed, parts = 16, []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            parts.append(F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 16)
-        fixed += 16
-    return reduce(lambda a, b: a + b, parts, F.lit(fixed).cast("long"))
+    return reduce(lambda a, f: a + _value_bytes(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(16).cast("long"))

@@ -26,8 +26,12 @@ def load_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "
     raise ValueError(f"unknown table format: {path}")
 
 
+#: What counts as a number: no type suffixes, which Java would take ("12F", "7d").
+_NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$"
+
+
 def _number(c: str):
-    return F.col(c).try_cast("double")
+    return F.when(F.col(c).rlike(_NUMBER), F.col(c).try_cast("double"))
 
 
 def numeric_coerce(df: DataFrame, target: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

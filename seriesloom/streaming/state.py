@@ -30,13 +30,26 @@ def read_state(spark: SparkSession, path: str, before: int | None = None) -> Dat
 
 
 def apply_batch(batch: DataFrame, epoch: int, spec: SeriesSpec, period: int, path: str) -> None:
-    """Merge one batch. Running a batch again writes the same folder again, so retries do no harm."""
+    """Merge one batch. Running a batch again writes the same folder again, so retries do no harm.
+
+    Once the batch is written, folders older than the one before it are removed; that one stays for a retry.
+    """
     spark = batch.sparkSession
     keep = [*spec.by, spec.ts, *spec.tie, spec.y]
     new = present(batch, spec).select(*keep)
     old = read_state(spark, path, before=epoch)
     merged = state_update(old if old is not None else new.limit(0), new, spec, period)
     merged.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    _forget(spark, path, epoch)
+
+
+def _forget(spark: SparkSession, path: str, epoch: int) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("epoch="))
+    before = [e for e in done if e < epoch]
+    for e in before[:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={e}"), True)
 
 
 def start_state_stream(stream: DataFrame, spec: SeriesSpec, period: int, path: str, checkpoint: str, trigger: dict | None = None):
