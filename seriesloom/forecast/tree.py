@@ -28,6 +28,8 @@ from seriesloom.spec import SeriesSpec
 # Defaults of the two presets.
 COMMON = {"maxDepth": 8, "stepSize": 0.05, "maxIter": 500, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 PRESETS = {"xgboost": {"minInstancesPerNode": 3}, "lightgbm": {"minInstancesPerNode": 20}}
+#: Fixed value: rounds without a better validation error after which boosting stops.
+PATIENCE = 20
 _STEPS_PER_PLAN = 6
 
 
@@ -65,7 +67,30 @@ def series_levels(train: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def _fit(estimator, features: DataFrame, spec: SeriesSpec, split: str, delta: bool, early: bool, **made) -> TreeModel:
+def boost_with_patience(settings: dict, train: DataFrame, val: DataFrame, patience: int = PATIENCE) -> Model:
+    """Boosted trees up to the round of least validation error, found when ``patience`` rounds have passed without a better one.
+
+    A run with more rounds begins with the very same trees, so rising numbers of rounds are fitted and
+    the errors of all their stages read in one pass, until the best stage lies far enough before the end.
+    """
+    most = settings["maxIter"]
+    rounds = min(most, 2 * patience)
+    while True:
+        model = GBTRegressor(**{**settings, "maxIter": rounds}).fit(train)
+        errors = model.evaluateEachIteration(val, "squared")
+        best = stop = 0
+        while stop < len(errors) and stop - best < patience:
+            best = stop if errors[stop] < errors[best] else best
+            stop += 1
+        best += 1
+        if stop - best + 1 >= patience or rounds == most:
+            break
+        rounds = min(most, 2 * rounds)
+    return model if best == rounds else GBTRegressor(**{**settings, "maxIter": best}).fit(train)
+
+
+def _fit(fit, features: DataFrame, spec: SeriesSpec, split: str, delta: bool, **made) -> TreeModel:
+    """``fit`` gets the train rows and the val rows (or None) with the columns ``_x`` and ``_label``."""
     ensure_checkpoint_dir(features.sparkSession)
     levels = None
     if spec.by:
@@ -76,29 +101,30 @@ def _fit(estimator, features: DataFrame, spec: SeriesSpec, split: str, delta: bo
     rows = target_delta(features, spec, "_label") if delta else features.withColumn("_label", F.col(spec.y).cast("double"))
     rows = rows.filter(F.col(split).isin("train", "val")).na.drop(subset=[*names, "_label"])
     ready = VectorAssembler(inputCols=names, outputCol="_x").transform(rows).select("_x", "_label", (F.col(split) == "val").alias("_val"))
-    estimator = estimator.setFeaturesCol("_x").setLabelCol("_label")
-    if early and not ready.filter("_val").isEmpty():
-        estimator = estimator.setValidationIndicatorCol("_val")
-    else:
-        ready = ready.filter("NOT _val")
-    return TreeModel(estimator.fit(ready), names, delta, levels, **made)
+    ready = materialize(ready)
+    val = ready.filter("_val").drop("_val")
+    return TreeModel(fit(ready.filter("NOT _val").drop("_val"), None if val.isEmpty() else val), names, delta, levels, **made)
 
 
 def train_gbt(features: DataFrame, spec: SeriesSpec, preset: str = "xgboost", split: str = "split", delta: bool = True,
               made: dict | None = None, **params) -> TreeModel:
-    """Boosted trees on the train rows; the val rows stop the boosting.
+    """Boosted trees on the train rows; the val rows stop the boosting (see ``boost_with_patience``), without any all rounds are run.
 
     ``features`` is the whole labelled table, with features built before the split.
     ``made`` tells how its lag and window columns were made, for recursive forecasts.
     """
-    settings = {**COMMON, **PRESETS[preset], **params}
-    return _fit(GBTRegressor(**settings), features, spec, split, delta, True, **(made or {}))
+    settings = {**COMMON, **PRESETS[preset], **params, "featuresCol": "_x", "labelCol": "_label"}
+
+    def fit(train: DataFrame, val: DataFrame | None) -> Model:
+        return boost_with_patience(settings, train, val) if val is not None else GBTRegressor(**settings).fit(train)
+
+    return _fit(fit, features, spec, split, delta, **(made or {}))
 
 
 def train_random_forest(features: DataFrame, spec: SeriesSpec, split: str = "split", delta: bool = True,
                         made: dict | None = None, **params) -> TreeModel:
-    settings = {"maxDepth": 8, "numTrees": 100, "seed": 42, **params}
-    return _fit(RandomForestRegressor(**settings), features, spec, split, delta, False, **(made or {}))
+    settings = {"maxDepth": 8, "numTrees": 100, "seed": 42, **params, "featuresCol": "_x", "labelCol": "_label"}
+    return _fit(lambda train, _: RandomForestRegressor(**settings).fit(train), features, spec, split, delta, **(made or {}))
 
 
 def feature_importance(model: TreeModel, spark) -> DataFrame:
@@ -141,7 +167,7 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
     The state is one row per series with the few last values as an array, so a step is a
     projection without a shuffle. The plan is cut every few steps. ``exog`` holds the
     regressors of the model on the future grid (series, h, columns). Series too short for
-    the widest window are left out.
+    the widest window have no values, and say so in ``reason``.
     """
     deepest = max(*model.lags, *model.windows, 1)
     reach = max(deepest, ewm_reach(model.span) if model.span else 1)
@@ -149,7 +175,11 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
     clean = present(history, spec).select(*spec.by, spec.ts, *spec.tie, spec.y)
     state = last_rows(clean, spec, reach).groupBy(*spec.by).agg(
         F.transform(order, lambda s: s["v"]).alias("_tail"), F.max(spec.ts).alias("_last")
-    ).filter(F.size("_tail") >= deepest)
+    )
+    state = materialize(state)
+    short = state.filter(F.size("_tail") < deepest).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))
+    short = short.select(*spec.by, "h", add_steps(F.col("_last"), F.col("h"), freq).alias(spec.ts), F.lit(None).cast("double").alias("yhat"), F.lit("too_few_rows").alias("reason"))
+    state = state.filter(F.size("_tail") >= deepest)
     if model.levels is not None:
         state = series_join(state, model.levels, spec.by)
     if model.exog:
@@ -172,6 +202,6 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
         if h % _STEPS_PER_PLAN == 0 and h < horizon:
             state = materialize(state)
     path = state.select(*spec.by, F.explode("_path").alias("_p"))
-    return path.select(*spec.by, "_p.h", F.col("_p.ts").alias(spec.ts), "_p.yhat")
+    return path.select(*spec.by, "_p.h", F.col("_p.ts").alias(spec.ts), "_p.yhat", F.lit(None).cast("string").alias("reason")).unionByName(short)
 
 

@@ -121,7 +121,7 @@ def test_trees(spark):
     err = np.sqrt(((test.actual - test.pred) ** 2).mean())
     assert err < 0.5 * test.groupby("grp")["actual"].std().mean()
     fc = paths(tree.fc_tree_recursive(model, df, SPEC, 8))
-    assert set(fc) == {"a", "b"} and all(len(v) == 8 for v in fc.values())
+    assert set(fc) == {"a", "b", "short"} and all(len(v) == 8 for v in fc.values()) and np.isnan(np.array(fc["short"], dtype=float)).all()
     assert np.abs(np.array(fc["b"]) - (60 + 5 * np.sin(2 * np.pi * np.arange(150, 158) / 7))).mean() < 3
     imp = tree.feature_importance(model, spark).toPandas()
     assert imp.importance.is_monotonic_decreasing and imp.importance.sum() == pytest.approx(1.0)
