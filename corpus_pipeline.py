@@ -15,8 +15,8 @@ from seriesloom.llm.minhash import near_duplicates
 from seriesloom.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A prediction less certain than this is a rejection.
-LEAST_SCORE = 0.5
+#: A prediction less certain than this is a rejection. It is low, so that documents with passages in two languages stay.
+LEAST_SCORE = 0.3
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
