@@ -10,7 +10,7 @@ from seriesloom.functions.features import tree_features
 from seriesloom.operators.exog import carry_exog
 from seriesloom.operators.series import row_positions
 from seriesloom.operators.splits import split_ratio
-from seriesloom.plans.backtest import backtest_baselines
+from seriesloom.plans.backtest import ALL_MODELS, backtest_all, backtest_baselines
 from seriesloom.session import materialize
 
 H = 30
@@ -190,7 +190,7 @@ def _(spark, sf):
     return arima.fc_arima(hourly(spark, sf), PANEL, 48, "H", arima.ArimaConfig(auto=False))
 
 
-_BACKTEST_SQL = f"""
+_BACKTEST_CTE = f"""
 WITH {PANEL_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM pan),
 s AS (SELECT *, CASE WHEN i < floor(n * 0.7e0) THEN 'train' WHEN i < floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split FROM r),
@@ -204,7 +204,8 @@ scale AS (SELECT grp, avg(abs(d)) AS ne FROM (SELECT grp, y - lag(y) OVER (PARTI
 m AS (SELECT grp, model, count(*) AS n, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) ** 2)) AS rmse,
   avg(CASE WHEN actual <> 0 THEN abs((actual - pred) / actual) END) * 100 AS mape,
   avg(CASE WHEN abs(actual) + abs(pred) <> 0 THEN 2 * abs(actual - pred) / (abs(actual) + abs(pred)) END) * 100 AS smape,
-  1 - sum((actual - pred) ** 2) / (var_pop(actual) * count(*)) AS r2, median(abs(actual - pred)) AS medae FROM p GROUP BY ALL)
+  1 - sum((actual - pred) ** 2) / (var_pop(actual) * count(*)) AS r2, median(abs(actual - pred)) AS medae FROM p GROUP BY ALL)"""
+_BACKTEST_SQL = _BACKTEST_CTE + """
 SELECT grp, model, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape, round(r2, 6) AS r2,
   round(medae, 4) AS medae, round(mae / ne, 6) AS mase, row_number() OVER (PARTITION BY grp ORDER BY rmse, model) AS rank
 FROM m JOIN scale USING (grp)"""
@@ -215,3 +216,28 @@ def flagship(spark, sf):
     out = backtest_baselines(panel(spark, sf), PANEL)
     out = rounded(out, 2, "mae", "rmse")
     return rounded(rounded(out, 4, "mape", "smape", "medae"), 6, "r2", "mase").withColumn("rank", F.col("rank").cast("long"))
+
+
+_ALL_SQL = _BACKTEST_CTE + f"""
+SELECT grp, model, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse FROM m
+UNION ALL SELECT grp, model, count(*), NULL, NULL FROM test, (SELECT unnest({list(ALL_MODELS[3:])}) AS model) GROUP BY grp, model"""
+
+
+@query("backtest_all", _ALL_SQL)
+def _(spark, sf):
+    """Test rows per series and model, and the errors of the baselines."""
+    out = backtest_all(panel(spark, sf), PANEL)
+    own = F.col("model").isin(*ALL_MODELS[:3])
+    return rounded(out.select("grp", "model", "n", *[F.when(own, F.col(c)).alias(c) for c in ("mae", "rmse")]), 2, "mae", "rmse")
+
+
+@query("best_of_all", f"""
+WITH {PANEL_SQL}, ends AS (SELECT grp, max(ts) AS b FROM pan GROUP BY grp)
+SELECT grp, CAST(h AS INTEGER) AS h, b + to_days(CAST(h AS INTEGER)) AS ts, true AS is_best FROM ends, (SELECT unnest(generate_series(1, 30)) AS h)""")
+def _(spark, sf):
+    """Forecasts of the better baseline of each series by the back-test, and whether each comes from the model ranked first."""
+    ranked = backtest_all(panel(spark, sf), PANEL, models=("naive", "seasonal_naive"))
+    best = baseline.fc_model_select(forecasts(spark, sf), "best", ranked, ["grp"])
+    first = ranked.filter("rank = 1").select(F.col("grp").alias("g"), F.col("model").alias("m"))
+    out = best.join(first, F.col("grp") == F.col("g"))
+    return out.select("grp", "h", "ts", (F.col("model") == F.col("m")).alias("is_best"))
