@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from seriesloom.llm.words import span_hashes, text_slices
+from seriesloom.llm.words import short_batches, span_hashes, text_slices
 from seriesloom.session import ensure_checkpoint_dir, materialize
 
 # Kinds of bytes: white space, letter, digit, other. 0xC3 leads the letters of Latin-1 (and two signs, see _simple_rows).
@@ -460,7 +460,7 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_of(path)
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+            for _, _, data, offsets in text_slices(batch.column(0), 2 << 20):
                 starts = split_words(data, offsets, v)
                 ends = np.append(starts[1:], data.size)
                 short = ends - starts <= 64
@@ -512,7 +512,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     other columns are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select(id_col, text_col)
+    docs = short_batches(docs.select(id_col, text_col))
     file = ship_lexicon(spark, frequent_words(word_counts(docs, text_col, path), lexicon_size), path)
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.BinaryType())])
 
@@ -531,7 +531,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Add the text that ``ids_col`` spells; bytes that are no UTF-8 become U+FFFD. NULL ids give an empty text."""
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
-    place = encoded.columns.index(ids_col)
+    place = short_batches(encoded).columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_of(path)

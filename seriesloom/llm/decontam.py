@@ -10,6 +10,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from seriesloom.llm.words import short_batches
+
 
 def normal(text: str | None) -> str:
     """Lower case, runs of white space as one blank, none at the ends."""
@@ -121,6 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     memory doesn't grow with the benchmark. NULL and blank items match nothing, NULL texts hold nothing; rows with one id give a row each; items with one id
     count as one, with the least distance. Empty tables give an empty result.
     """
+    short_batches(docs)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_chars))

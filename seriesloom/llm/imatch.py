@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seriesloom.llm.words import mix, text_slices, word_hashes
+from seriesloom.llm.words import mix, short_batches, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
@@ -35,14 +35,14 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+            for _, _, data, offsets in text_slices(batch.column(0), 2 << 20):
                 h, first = word_hashes(data, offsets)
                 own = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b > a]
                 if own:
                     term, df = np.unique(np.concatenate(own), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df)], names=["term", "df"])
 
-    return docs.select(text_col).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"))
+    return short_batches(docs.select(text_col)).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, text_col: str, settings: IMatchSettings = IMatchSettings()) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesloom.llm.ngrams import code_points
-from seriesloom.llm.words import _BASE, _BASE_INVERSE, _power_tables, mix, text_slices
+from seriesloom.llm.words import _BASE, _BASE_INVERSE, _power_tables, mix, short_batches, text_slices
 from seriesloom.operators.joins import keyed_join
 from seriesloom.session import materialize
 
@@ -228,7 +228,7 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     within one edit of each other, so the earliest is all that is needed and no pairs are formed. What is to be looked up or removed per document is
     broadcast while its measured size is small, and joined by a shuffle beyond that.
     """
-    rows = docs.drop("n_lines", "n_removed")
+    rows = short_batches(docs.drop("n_lines", "n_removed"))
     gone = repeated_lines(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), settings)
     gone = gone.distinct().groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list("line").alias("_gone"))
     joined = keyed_join(rows.withColumn("_gone_id", F.col(id_col)), gone, ["_gone_id"]).drop("_gone_id")

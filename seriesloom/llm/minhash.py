@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesloom.llm.graph import components
-from seriesloom.llm.words import mix, shingle_sets, text_slices
+from seriesloom.llm.words import mix, shingle_sets, short_batches, text_slices
 from seriesloom.session import materialize
 
 
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     what any of them holds; each gives a row. A NULL id gets the component NULL and is kept. An empty table gives an empty one.
     """
     s = settings
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = short_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     seen = materialize(_profile(docs, s))
     full = seen.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from seriesloom.llm.words import text_slices
+from seriesloom.llm.words import short_batches, text_slices
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
@@ -104,7 +104,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def score_texts(docs: DataFrame, text_col: str, fields: list[T.StructField], score: Callable) -> DataFrame:
     """Add columns that ``score(bytes, offsets)`` makes of slices of ``text_col``; the text itself is left out, NULL counts as empty."""
     kept = [c for c in docs.columns if c != text_col]
-    docs = docs.select(*kept, text_col)
+    docs = short_batches(docs.select(*kept, text_col))
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +123,4 @@ def train_in_task(sample: DataFrame, fit: Callable[[list[dict]], bytes]) -> byte
         rows = [r for batch in batches for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    return bytes(short_batches(sample).repartition(1).mapInArrow(run, "model binary").first()["model"])

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from seriesloom.llm.bpe import _encoder_of, _flat
-from seriesloom.llm.words import text_slices
+from seriesloom.llm.words import short_batches, text_slices
 
 _MAGIC = b"RPR1"
 _HEAD = struct.Struct("<4sIIQQB7x")  # magic, first rule id, rules, documents, symbols, bytes per symbol
@@ -172,7 +172,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     the end id alone. The tokenizers library encodes each distinct word that a task meets; a text that spells a special token is encoded by it as a whole.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    docs = short_batches(docs).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "seq", "first_doc", "n_docs", "n_tokens")] + [T.StructField("payload", T.BinaryType())])
     s = settings
 

@@ -10,6 +10,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -41,7 +42,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         made.append(np.multiply.accumulate(steps))
-    if n <= 5 << 20:  # tables for a single very long text are not kept
+    if n <= (2 << 20) + 4096:  # tables for a single very long text are not kept
         _powers[:] = made
     return made[0], made[1]
 
@@ -55,6 +56,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Let Arrow batches of this session hold at most ``rows`` rows: texts are long, and a batch is held by the JVM and by Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``max_bytes``: first row, end row, bytes, offsets.
 
