@@ -12,50 +12,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesloom.llm.words import mix, short_batches, text_slices, word_hashes
+from seriesloom.operators.joins import keyed_join
+from seriesloom.session import materialize
 
 
 @dataclass(frozen=True)
 class IMatchSettings:
-    """The lexicon holds the terms found in at least 1/``rare`` and at most 1/``common`` of the documents (and in two at least).
+    """The lexicon holds the terms found in at least 1/``rare`` of the rows (and in two at least) and at most 1/``common`` of the distinct texts.
 
     A document has a bounded number of distinct terms on average, so at most ``rare`` times that number of terms can be
     this frequent, whatever the number of documents: the lexicon has a bounded size. Level k of ``levels`` keeps each term with probability
     2**-(k + 1), in ``subsets`` independently drawn parts.
+
+    Terms above the band are at most ``common`` times as many as a text has on average. They fill as many parts again, which count where less than
+    1/``few`` of a document's known terms lie in the band, as with the near copies of a text that make up much of the table.
     """
 
     rare: int = 2000
     common: int = 20
     levels: int = 11
     subsets: int = 6
+    few: int = 4
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Sorted hashes of the terms in the band and of those above it."""
 
+    terms: np.ndarray
+    common: np.ndarray
 
-def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, df): in how many rows each word occurs, as a hash; tasks add up their own rows first."""
-    schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("df", T.LongType())])
+
+def document_frequencies(docs: DataFrame, text_col: str, copies_col: str) -> DataFrame:
+    """(term, df, spare): in how many rows each word occurs, as a hash, and how many of them only repeat a text; tasks add up their own rows first.
+
+    ``copies_col`` tells how many rows have the text of a row: each adds 1 - 1 / copies to the spare ones.
+    """
+    schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("df", T.LongType()), T.StructField("spare", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 2 << 20):
+            spare = 1 - 1 / batch.column(1).to_numpy()
+            for lo, hi, data, offsets in text_slices(batch.column(0), 2 << 20):
                 h, first = word_hashes(data, offsets)
-                own = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b > a]
-                if own:
-                    term, df = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df)], names=["term", "df"])
+                own = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                flat = np.concatenate(own)
+                if flat.size:
+                    term, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+                    more = np.bincount(at, np.repeat(spare[lo:hi], [x.size for x in own]), term.size)
+                    yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df), pa.array(more)], names=schema.names)
 
-    return short_batches(docs.select(text_col)).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"))
+    rows = short_batches(docs.select(text_col, copies_col)).mapInArrow(run, schema)
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.round(F.sum("spare")).cast("long").alias("spare"))
 
 
-def lexicon(docs: DataFrame, text_col: str, settings: IMatchSettings = IMatchSettings()) -> np.ndarray:
-    """Hashes of the terms in the band, sorted."""
+def lexicon(docs: DataFrame, text_col: str, settings: IMatchSettings = IMatchSettings()) -> Lexicon:
+    """The terms in the band, and those above it.
+
+    Copies of a text count once for the upper bound, so that they do not push their own terms out, and all for the lower one. Equal
+    texts are told by a 64-bit hash.
+    """
+    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    repeated = materialize(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
     n = docs.count()
-    low, high = max(2, -(-n // settings.rare)), max(2, n // settings.common)
-    rows = document_frequencies(docs, text_col).where(F.col("df").between(low, high)).select("term").toArrow()
-    return np.sort(rows["term"].to_numpy().view(np.uint64))
+    distinct = n - (repeated.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    low, high = max(2, -(-n // settings.rare)), max(2, distinct // settings.common)
+    counted = keyed_join(keyed, repeated, ["key"]).select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    rows = document_frequencies(counted, "text", "copies").where(F.col("df") >= low).select("term", (F.col("df") - F.col("spare") > high).alias("above")).toArrow()
+    term, above = rows["term"].to_numpy().view(np.uint64), rows["above"].to_numpy()
+    return Lexicon(np.sort(term[~above]), np.sort(term[above]))
 
 
-def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray, s: IMatchSettings = IMatchSettings()) -> np.ndarray:
-    """One 32-bit number per row and part of the lexicon: a hash of the row's sorted distinct terms in that part, 0 if it has none there."""
+def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, words: Lexicon, s: IMatchSettings = IMatchSettings()) -> np.ndarray:
+    """One 32-bit number per row and part of the lexicon: a hash of the row's sorted distinct terms in that part, 0 if it has none there.
+
+    Parts of the terms in the band come first, then those of the terms above it.
+    """
     h, first = word_hashes(data, offsets)
+    return np.hstack([_parts(h, first, words.terms, s), _parts(h, first, words.common, s)])
+
+
+def _parts(h: np.ndarray, first: np.ndarray, terms: np.ndarray, s: IMatchSettings) -> np.ndarray:
     if terms.size:
         at = np.minimum(np.searchsorted(terms, h), terms.size - 1)
         known = terms[at] == h
@@ -92,28 +129,41 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray, s: IMatchSettings =
     """Estimated share of common terms (0 to 1) of pairs of fingerprints.
 
     A part that keeps terms with probability r is equal for both if it holds none of the D terms in which they differ, and is empty for both
-    if it holds none of all U terms; the likeliest D and U for the numbers of unequal and of non-empty parts give 1 - D / U. Equal fingerprints
+    if it holds none of all U terms; the likeliest D and U for the numbers of unequal and of non-empty parts give 1 - D / U. Terms in the band count;
+    those above it count too if less than 1/``few`` of the known terms of either document lie in the band. Equal fingerprints
     give 1, those without an equal non-empty part 0. If neither has a term, the result is 1 where ``same`` (equal texts) and else 0.
     """
-    shape = (len(a), s.levels, s.subsets)
-    unequal, filled = (a != b).reshape(shape).sum(axis=2), ((a > 0) | (b > 0)).reshape(shape).sum(axis=2)
     grid = np.geomspace(0.25, 1 << (s.levels + 3), 160)
     none = np.log1p(-(0.5 ** np.arange(1, s.levels + 1)))[:, None] * grid  # log of the probability that a part holds none of them
     some = np.log(np.maximum(-np.expm1(none), 1e-300))
-    likeliest = lambda n: grid[np.argmax(n @ some + (s.subsets - n) @ none, axis=1)]
-    out = np.clip(1 - likeliest(unequal) / likeliest(filled), 0, 1)
-    out[(unequal == filled).all(axis=1)] = 0
-    out[(unequal == 0).all(axis=1)] = 1
-    return np.where(filled.any(axis=1), out, same.astype(float))
-
 
-def fingerprints(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text", settings: IMatchSettings = IMatchSettings()) -> DataFrame:
+    def likeliest(parts: np.ndarray) -> np.ndarray:
+        n = parts.reshape(len(parts), s.levels, s.subsets).sum(axis=2)
+        return np.where(parts.any(axis=1), grid[np.argmax(n @ some + (s.subsets - n) @ none, axis=1)], 0)
+
+    width = s.levels * s.subsets
+    unequal, filled = a != b, (a > 0) | (b > 0)
+    wide = np.zeros(len(a), bool)  # pairs for which terms above the band count
+    for x in (a, b):
+        inside, above = likeliest(x[:, :width] > 0), likeliest(x[:, width:] > 0)
+        wide |= s.few * inside < inside + above
+    differ, total = likeliest(unequal[:, :width]), likeliest(filled[:, :width])
+    differ += np.where(wide, likeliest(unequal[:, width:]), 0)
+    total += np.where(wide, likeliest(filled[:, width:]), 0)
+    counts = np.arange(2 * width) < np.where(wide, 2 * width, width)[:, None]
+    out = np.clip(1 - differ / np.maximum(total, grid[0]), 0, 1)
+    out[~(filled & ~unequal & counts).any(axis=1)] = 0
+    out[~(unequal & counts).any(axis=1)] = 1
+    return np.where((filled & counts).any(axis=1), out, same.astype(float))
+
+
+def fingerprints(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str = "text", settings: IMatchSettings = IMatchSettings()) -> DataFrame:
     """``id_col`` and ``fingerprint``, one row per input row; other columns are left out.
 
     NULL counts as the empty text. A text without a term of the lexicon is known by a hash of the text, so equal texts always have equal fingerprints.
-    ``terms`` comes from ``lexicon`` and has a bounded size. An empty table gives an empty one.
+    ``words`` comes from ``lexicon`` and has a bounded size. An empty table gives an empty one.
     """
-    shared, s = docs.sparkSession.sparkContext.broadcast(terms), settings
+    shared, s = docs.sparkSession.sparkContext.broadcast(words), settings
     docs = docs.select(id_col, text_col)
     schema = T.StructType([docs.schema[id_col], T.StructField("fingerprint", T.StringType())])
 
@@ -132,7 +182,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-def compare_edited(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text", settings: IMatchSettings = IMatchSettings()) -> DataFrame:
+def compare_edited(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str = "text", settings: IMatchSettings = IMatchSettings()) -> DataFrame:
     """Fingerprints of every text and of its edited text (``edited_text`` with the next document in ascending order of ids).
 
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. Documents are dealt by id into ranges; each range also gets the first document of
@@ -157,7 +207,7 @@ def compare_edited(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", t
     copies = dealt.join(F.broadcast(extra), F.col("at") == F.col("first")).select(F.col("to").alias("part"), F.lit(True).alias("copy"), "at", "id", "text")
     own = dealt.select("part", F.lit(False).alias("copy"), "at", "id", "text")
     ordered = own.union(copies).repartition(wanted, "part").sortWithinPartitions("part", "copy", "at", F.xxhash64("text")).select("part", "copy", "id", "text")
-    shared = spark.sparkContext.broadcast(terms)
+    shared = spark.sparkContext.broadcast(words)
     schema = T.StructType([
         T.StructField(id_col, T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
         T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),

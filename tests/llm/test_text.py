@@ -128,6 +128,35 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_of_a_hot_group(spark):
+    """A third of the rows are copies and near copies of one text."""
+    rng = random.Random(8)
+    plain = [" ".join(f"v{rng.randrange(3000)}" for _ in range(80)) for _ in range(400)]
+    base = [f"h{k}" for k in range(160)]
+    near = []
+    for _ in range(100):
+        w = list(base)
+        for k in rng.sample(range(160), 4):
+            w[k] = f"v{rng.randrange(3000)}"
+        near.append(" ".join(w))
+    hot = [" ".join(base)] * 100 + near
+    texts = [x for k in range(100) for x in (hot[k], plain[4 * k], near[k], near[(k + 1) % 100], *plain[4 * k + 1 : 4 * k + 4])]
+    docs = table(spark, texts)
+    got = compare_edited(docs, lexicon(docs, "text")).orderBy("doc_id").collect()
+
+    def common(x, y):
+        x, y = set(x.split()), set(y.split())
+        return len(x & y) / len(x | y)
+
+    assert not [r for r in got if r.fingerprint[0] == "t"]
+    for kind in (0, 2, 3):  # a copy, a near copy before another one, a near copy before another text
+        of = range(kind, len(texts), 7)
+        edited = [common(texts[k], edited_text(texts[k], texts[(k + 1) % len(texts)])) for k in of]
+        assert abs(np.mean([got[k].near_edited for k in of]) - np.mean(edited)) < 0.1 and min(got[k].near_edited for k in of) > 0.2
+    assert min(got[k].near_next for k in range(2, len(texts), 7)) > 0.6
+    assert max(got[k].near_next for k in range(4, len(texts), 7)) < 0.3
+
+
 # ---- chat ------------------------------------------------------------------------------------------------------------
 
 CHAT_SQL = """
