@@ -430,3 +430,30 @@ def test_pipeline(spark):
     assert left == {i for i in kept if not any(x in normal(want[i]) for x in items)}
     done = {r.doc_id for r in P.run(spark, SF).collect()}
     assert done == left
+
+
+def test_pipeline_near_dedup_at_80_percent(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    texts, want = [], set()
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(149 if g < 6 else 200)]
+        texts.append(" ".join(base))
+        want.add(len(texts) - 1)
+        for edits, at in ((3, (20, 70, 120)), (4, (20, 60, 100, 130))):
+            w = list(base)
+            for k in at:
+                w[k] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+            both, union = len(shingles(texts[-1]) & shingles(" ".join(base))), len(shingles(texts[-1]) | shingles(" ".join(base)))
+            if 100 * both < 80 * union:
+                want.add(len(texts) - 1)
+    near = [f"s{k}" for k in range(184)]  # 180 runs of five words, 160 of them common: exactly 80 percent
+    texts += [" ".join(near), " ".join(near[:20] + ["y"] + near[21:60] + ["y1"] + near[61:100] + ["y2"] + near[101:140] + ["y3"] + near[141:])]
+    both = len(shingles(texts[-1]) & shingles(texts[-2]))
+    assert 100 * both == 80 * (360 - both)
+    want.add(len(texts) - 2)
+    docs = table(spark, texts).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == want
+    assert len({r.doc_id for r in near_duplicates(docs).where("kept").collect()}) > len(want)
