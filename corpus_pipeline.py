@@ -15,8 +15,8 @@ from seriesloom.llm.minhash import MinHashSettings, near_duplicates
 from seriesloom.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A prediction less certain than this is a rejection. It is low, so that documents with passages in two languages stay.
-LEAST_SCORE = 0.3
+#: A text of which a smaller share of n-grams was seen in training is in none of the learned languages, or junk. Passages in two of them keep the share high.
+LEAST_SEEN = 0.8
 #: A pair at exactly 80 percent shares no band with probability 3e-6; 77 of 96 coordinates are expected to agree, 50 lie almost seven deviations below.
 NEAR = MinHashSettings(percent=80, agree=50)
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,10 @@ def _like_documents(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised; lang becomes the prediction. NULL texts and texts without a letter go."""
+    """Keep documents whose language is recognised; lang becomes the prediction. NULL texts, texts without a letter and texts unlike those learned from go."""
     model = fit_languages(docs, F.lit(True))
-    seen = identify_languages(docs.withColumn("_text", F.col("text")), model, "_text")
-    kept = seen.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    seen = identify_languages(docs.withColumn("_text", F.col("text")), model, "_text", seen_col="_seen")
+    kept = seen.where((F.col("lang_pred") != UNDETERMINED) & (F.col("_seen") >= LEAST_SEEN))
     return _like_documents(kept.withColumn("lang", F.col("lang_pred")))
 
 

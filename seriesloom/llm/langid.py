@@ -17,7 +17,8 @@ class LanguageSettings:
     """About ``per_language`` rows of every language are fitted, chosen by a hash of the id (all if there are fewer).
 
     Follow-the-regularised-leader with step ``alpha``, ``beta`` and the elastic-net penalties ``l1`` and ``l2``. A fifth of the rows sets
-    the temperature instead.
+    the temperature instead. n-grams count as seen if two of a language's fitted texts hold them (one, for a language of fewer than 20
+    texts), and are told apart by ``seen_bits`` bits.
     """
 
     orders: tuple[int, ...] = (1, 2, 3)
@@ -30,13 +31,14 @@ class LanguageSettings:
     l2: float = 0.01
     epochs: int = 3
     batch: int = 32
+    seen_bits: int = 24
 
 
 UNDETERMINED = "und"
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, s: LanguageSettings):
-    """n-grams of lower-cased letters, every run of other characters being one blank; and how many letters each row has."""
+def _spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lower-cased letters, every run of other characters being one blank; the rows' offsets; and how many letters each row has."""
     cps, at = code_points(data, offsets)
     letter = letters()[cps]
     cps = np.where(letter, lowered()[cps], np.uint32(32))
@@ -46,12 +48,35 @@ def _features(data: np.ndarray, offsets: np.ndarray, s: LanguageSettings):
     keep[1:] |= letter[:-1]
     total = np.concatenate([[0], np.cumsum(keep)])
     found = np.concatenate([[0], np.cumsum(letter)])
-    cps, at, n = cps[keep], total[at], found[at[1:]] - found[at[:-1]]
+    return cps[keep], total[at], found[at[1:]] - found[at[:-1]]
+
+
+def _grams(cps: np.ndarray, at: np.ndarray, s: LanguageSettings):
     parts = []
     for k, order in enumerate(s.orders):
         h, begin, size = ngrams(cps, at, order, s.bits)
         parts.append((h + (k << s.bits), begin, size))
-    return parts, n
+    return parts
+
+
+def _seen(rows: list[dict], labels: list[str], s: LanguageSettings) -> np.ndarray:
+    """Which n-grams of any order the texts of a language have in common, as bits. Copies of a text are one text."""
+    import pyarrow as pa
+
+    seen = np.zeros(1 << s.seen_bits, bool)
+    for label in labels:
+        texts = sorted({r["text"] for r in rows if r["label"] == label})
+        once, twice = np.zeros(seen.size, bool), np.zeros(seen.size, bool)
+        for _, _, d, o in text_slices(pa.array(texts, pa.large_string()), 1 << 20):
+            cps, at, _ = _spelled(d, o)
+            for order in s.orders:
+                h, begin, size = ngrams(cps, at, order, s.seen_bits)
+                for b, z in zip(begin.tolist(), size.tolist()):
+                    own = np.unique(h[b : b + z])
+                    twice[own[once[own]]] = True
+                    once[own] = True
+        seen |= once if len(texts) < 20 else twice
+    return np.packbits(seen)
 
 
 def _fit(rows: list[dict], s: LanguageSettings) -> bytes:
@@ -62,7 +87,7 @@ def _fit(rows: list[dict], s: LanguageSettings) -> bytes:
     rows = sorted(rows, key=lambda r: (r["draw"], r["text"]))
     import pyarrow as pa
 
-    counts = [c for _, _, d, o in text_slices(pa.array([r["text"] for r in rows], pa.large_string()), 1 << 20) for c in row_counts(_features(d, o, s)[0])]
+    counts = [c for _, _, d, o in text_slices(pa.array([r["text"] for r in rows], pa.large_string()), 1 << 20) for c in row_counts(_grams(*_spelled(d, o)[:2], s))]
     y = np.array([labels.index(r["label"]) for r in rows])
     width = len(s.orders) << s.bits
     df = np.zeros(width)
@@ -96,7 +121,7 @@ def _fit(rows: list[dict], s: LanguageSettings) -> bytes:
     logits = x.take(check).dot(w) + bias
     rows_at = np.arange(check.size)
     heat = min(np.geomspace(0.25, 20, 121), key=lambda t: -np.log(np.maximum(softmax(logits / t)[rows_at, y[check]], 1e-12)).sum())
-    return pickle.dumps((labels, (100 * idf[:, None] * w / heat).astype(np.float32), bias / heat))
+    return pickle.dumps((labels, (100 * idf[:, None] * w / heat).astype(np.float32), bias / heat, _seen(rows, labels, s)))
 
 
 def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: LanguageSettings = LanguageSettings()) -> bytes:
@@ -111,10 +136,11 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
     return train_in_task(sample, lambda r: _fit(r, s))
 
 
-def identify_languages(docs: DataFrame, model: bytes, text_col: str = "text", settings: LanguageSettings = LanguageSettings()) -> DataFrame:
+def identify_languages(docs: DataFrame, model: bytes, text_col: str = "text", settings: LanguageSettings = LanguageSettings(), seen_col: str | None = None) -> DataFrame:
     """All columns but the text, and lang_pred and score of every row's whole text.
 
-    The score is the calibrated probability of lang_pred. Texts that are NULL or have no letter get ``und`` with the score 0, as does every text if there was
+    The score is the calibrated probability of lang_pred. ``seen_col`` names a further column: the share of the text's n-grams that were seen in training, which
+    tells texts in none of the learned languages, however many those are. Texts that are NULL or have no letter get ``und`` with the score 0, as does every text if there was
     nothing to learn from. An empty table gives an empty one.
     """
     shared, s = docs.sparkSession.sparkContext.broadcast(model), settings
@@ -125,15 +151,24 @@ def identify_languages(docs: DataFrame, model: bytes, text_col: str = "text", se
             held["model"] = pickle.loads(shared.value)
         rows = offsets.size - 1
         if held["model"] is None:
-            return [[UNDETERMINED] * rows, np.zeros(rows)]
-        labels, weights, bias = held["model"]
-        parts, found = _features(data, offsets, s)
+            return [[UNDETERMINED] * rows, np.zeros(rows)] + [np.zeros(rows)] * len(shares)
+        labels, weights, bias, seen = held["model"]
+        cps, at, found = _spelled(data, offsets)
+        parts = _grams(cps, at, s)
         total = sum(size for _, _, size in parts)
         logits = sum(row_sums(weights[h], begin, size) for h, begin, size in parts) / np.maximum(total, 1)[:, None] + bias
         p = softmax(logits)
         best = p.argmax(axis=1)
         known = found > 0
-        return [[labels[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())], np.where(known, p[np.arange(rows), best], 0.0)]
-
-    clash = [c for c in ("lang_pred", "score") if c in docs.columns]
-    return score_texts(docs.drop(*clash), text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], score)
+        out = [[labels[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), known.tolist())], np.where(known, p[np.arange(rows), best], 0.0)]
+        if shares:
+            if "seen" not in held:
+                held["seen"] = np.unpackbits(seen)
+            hits = sum(row_sums(held["seen"][h].astype(np.int64), begin, size) for h, begin, size in (ngrams(cps, at, order, s.seen_bits) for order in s.orders))
+            out.append(np.where(known, hits / np.maximum(total, 1), 0.0))
+        return out
+
+    shares = [T.StructField(seen_col, T.DoubleType())] if seen_col else []
+    clash = [c for c in ("lang_pred", "score", seen_col) if c in docs.columns]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + shares
+    return score_texts(docs.drop(*clash), text_col, fields, score)

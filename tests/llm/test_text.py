@@ -457,3 +457,22 @@ def test_pipeline_near_dedup_at_80_percent(spark):
     docs = table(spark, texts).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
     assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == want
     assert len({r.doc_id for r in near_duplicates(docs).where("kept").collect()}) > len(want)
+
+
+def test_pipeline_rejects_unlearned_text(spark):
+    """Foreign and junk documents go whatever the number of learned languages; passages in two of them stay."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {lang: [r.text for r in docs.where((F.col("lang") == lang) & (F.length("text") > 300)).orderBy("doc_id").limit(6).collect()] for lang in ("de", "en", "es", "fr")}
+    rng = random.Random(12)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if rng.random() < 0.85 else " " for _ in range(300)) for _ in range(5)]
+    foreign = ["Это простой текст на русском языке, он говорит о погоде и о городе", "日本語の文章です。今日は天気がいいですね", "字", "Αυτό είναι ένα απλό κείμενο στα ελληνικά για τον καιρό",
+               "Śnieg przykrył całą wieś, więc chłopcy wzięli łyżwy i poszli nad zamarznięty staw"]
+    for langs in (["en"], ["de", "en"], ["de", "en", "es", "fr"]):
+        mixed = [a + "\n" + b for a, b in zip(text[langs[0]], text[langs[-1]])]
+        bad = [(80000 + k, t, None) for k, t in enumerate(foreign)] + [(81000 + k, t, "en") for k, t in enumerate(junk)]
+        extra = spark.createDataFrame([(i, t, lang, "x", len(t)) for i, t, lang in bad + [(82000 + k, t, None) for k, t in enumerate(mixed)]], docs.schema)
+        held = docs.where(F.col("lang").isin(langs))
+        kept = {r.doc_id for r in P.language(spark, held.union(extra), SF).collect()}
+        assert kept == {r.doc_id for r in held.where("text rlike '\\\\p{L}'").collect()} | {82000 + k for k in range(len(mixed))}
