@@ -18,6 +18,7 @@ from seriesloom.llm.minhash import near_duplicates
 from seriesloom.llm.pii import KINDS, personal_data, spans_text
 from seriesloom.llm.quality import fit_quality, score_quality
 from seriesloom.llm.repair import read_shards, write_shards
+from seriesloom.llm.vptree import build_index, search
 from seriesloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,17 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = personal_data(_table(spark, sf, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op11_vantage_trees", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS (
+  SELECT DISTINCT vec_id, v FROM e
+  WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM ok q JOIN ok c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return search(build_index(vectors), vectors.where("vec_id % 20 = 0"), 20)
