@@ -8,6 +8,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seriesloom.llm import ranked
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
 from seriesloom.llm.chat import chat_windows, read_back
 from seriesloom.llm.decontam import contaminated
@@ -175,3 +176,25 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings")
     return search(build_index(vectors), vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query("op12_length_strata", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT r, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM dn),
+dm AS (SELECT r, doc_id, 100 - 50 + ((50 * n * nn) // ll) AS m FROM dn, g),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM dn) GROUP BY ALL),
+it AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), g),
+s AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM it JOIN tf USING (t) JOIN w USING (t) JOIN dm USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s JOIN dm USING (r) WHERE score > 0 QUALIFY rank <= 50""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    index, n_docs = ranked.build_index(_table(spark, sf, "documents"))
+    return ranked.search(index, n_docs, _table(spark, sf, "benchmark"))
