@@ -19,6 +19,7 @@ from seriesloom.llm.minhash import near_duplicates
 from seriesloom.llm.pii import KINDS, personal_data, spans_text
 from seriesloom.llm.quality import fit_quality, score_quality
 from seriesloom.llm.repair import read_shards, write_shards
+from seriesloom.llm.trie import prefix_trie, turn_rows, with_borrowed_starts
 from seriesloom.llm.vptree import build_index, search
 from seriesloom.session import ensure_checkpoint_dir
 
@@ -198,3 +199,30 @@ FROM s JOIN dm USING (r) WHERE score > 0 QUALIFY rank <= 50""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     index, n_docs = ranked.build_index(_table(spark, sf, "documents"))
     return ranked.search(index, n_docs, _table(spark, sf, "benchmark"))
+
+
+@query("op13_centroid_trie", """
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM t),
+-- crc32 of the decimal id, bit by bit
+crc AS (SELECT c, xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda a, b:
+  list_reduce(list_transform(range(8), lambda z: z::BIGINT), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295::BIGINT)) % 6 AS h FROM ids),
+got AS (
+  SELECT crc.c, 0 AS part, t.i, role, text FROM crc JOIN t ON t.c = crc.c - crc.c % 100 AND t.i < crc.h
+  UNION ALL SELECT crc.c, 1, t.i, role, text FROM crc JOIN t ON t.c = crc.c AND t.i >= crc.h),
+reb AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, role, text FROM got),
+n AS (SELECT ids.c, coalesce(max(d), 0) AS len FROM ids LEFT JOIN reb USING (c) GROUP BY ids.c),
+path(c, d, k, p, chars) AS (
+  SELECT c, 0::BIGINT, md5(''), NULL::VARCHAR, 0::BIGINT FROM ids
+  UNION ALL SELECT r.c, r.d, md5(path.k || length(r.role)::VARCHAR || ':' || r.role || r.text), path.k, length(r.text)::BIGINT FROM path JOIN reb r ON r.c = path.c AND r.d = path.d + 1),
+node AS (SELECT k, any_value(p) AS p, any_value(d) AS depth, min(path.c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+  coalesce(string_agg(path.c::VARCHAR, ',' ORDER BY path.c) FILTER (WHERE n.len = path.d), '') AS ends FROM path JOIN n ON n.c = path.c GROUP BY k),
+kids AS (SELECT p, count(*) AS n_children FROM node GROUP BY p),
+above(k, a) AS (SELECT k, k FROM node UNION ALL SELECT above.k, node.p FROM above JOIN node ON node.k = above.a WHERE node.p IS NOT NULL),
+sub AS (SELECT a, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE kids.p IS NULL) AS n_leaves FROM above JOIN node USING (k) LEFT JOIN kids ON kids.p = above.k GROUP BY a)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n_children, 0) AS n_children, sub.n_leaves, sub.saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN sub ON sub.a = node.k LEFT JOIN node up ON up.k = node.p LEFT JOIN kids ON kids.p = node.k""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(*with_borrowed_starts(*turn_rows(_table(spark, sf, "conversations"))))
