@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from seriesloom.llm.words import span_hashes, text_slices, word_spans
+from seriesloom.llm.words import batch_bytes, span_hashes, text_slices, word_spans
 from seriesloom.session import materialize
 
 #: Bytes of terms as they are, with A-Z lowered; every other byte becomes a blank. Code points from 128 on consist of bytes from 128 on.
@@ -34,7 +34,7 @@ class RankSettings:
 
     slope: int = 50
     saturation: int = 20
-    cell_postings: int = 1 << 20
+    cell_postings: int = 1 << 18
     block_chars: int = 4_000_000
 
 
@@ -181,7 +181,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     terms, is in no stratum. Other columns are ignored. An empty table gives an empty index. Terms are told apart by 64-bit hashes.
     """
     s = settings
-    counted = materialize(count_terms(docs, id_col, text_col).where("n > 0"))
+    with batch_bytes(docs.sparkSession):
+        counted = materialize(count_terms(docs, id_col, text_col).where("n > 0"))
     total = counted.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"), F.sum("n_terms").alias("postings")).first()
     n_docs, cells = total["N"], max(1, ceil((total["postings"] or 0) / s.cell_postings))
     m = F.lit(100 - s.slope) + F.expr(f"({s.slope} * n * {n_docs}L) div {total['L'] or 1}L")
@@ -211,7 +212,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if parts:
             yield flush()
 
-    return materialize(spread.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary")), n_docs
+    with batch_bytes(docs.sparkSession):
+        return materialize(spread.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary")), n_docs
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, s: RankSettings) -> Iterator[list[tuple[int | None, np.ndarray]]]:
@@ -259,8 +261,9 @@ def _search_block(index: DataFrame, n_docs: int, block: list[tuple[int | None, n
 
     counted = index.mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
     df = np.zeros(vocabulary.size, np.int64)
-    for t, n in counted.collect():  # one row per term of the block
-        df[t] = n
+    with batch_bytes(spark):
+        for t, n in counted.collect():  # one row per term of the block
+            df[t] = n
     weight = np.array([floor(1000 * log((2 * n_docs + 2) / (2 * n + 1))) if n else 0 for n in df.tolist()], np.int64)
     wanted = []
     for _, terms in block:
@@ -287,7 +290,8 @@ def _search_block(index: DataFrame, n_docs: int, block: list[tuple[int | None, n
             if ids.size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(ids.size, j)), pa.array(ids, mask=~known), pa.array(scores)], names=schema.names)
 
-    parts = index.mapInArrow(score, schema)
+    with batch_bytes(spark):
+        parts = materialize(index.mapInArrow(score, schema))
     place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     ranked = parts.withColumn("rank", place).where(F.col("rank") <= k)
     names = spark.createDataFrame([(j, i) for j, (i, _) in enumerate(block)], "item long, item_id long")

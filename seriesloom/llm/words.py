@@ -6,11 +6,12 @@ lower-cased. Words and shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,6 +65,18 @@ def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Within this block, jobs send Arrow batches of at most ``size`` bytes (a longer row makes one of its own); the session's own limit returns after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``max_bytes``: first row, end row, bytes, offsets.
 
