@@ -34,7 +34,7 @@ class RankSettings:
 
     slope: int = 50
     saturation: int = 20
-    cell_postings: int = 1 << 18
+    cell_postings: int = 1 << 17
     block_chars: int = 4_000_000
 
 
@@ -176,17 +176,17 @@ def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: RankSettings = RankSettings()) -> tuple[DataFrame, int]:
     """The index of all documents as a written table (payload), and N, the number of documents with at least one term.
 
-    Whole texts are read once. Documents are range-partitioned by (m, hash), so that a stratum that holds a third of them is spread, and cells have about
-    ``cell_postings`` postings; a document is never divided. Every row is a document of its own, rows with repeated or NULL ids too. A NULL text, or one without
+    Whole texts are read once and nothing is shuffled: every task orders its own documents by m and packs them into cells of about ``cell_postings`` postings, so
+    a stratum that holds a third of all documents is spread over the tasks that read them; a document is never divided. Every row is a document of its own, rows with repeated or NULL ids too. A NULL text, or one without
     terms, is in no stratum. Other columns are ignored. An empty table gives an empty index. Terms are told apart by 64-bit hashes.
     """
     s = settings
     with batch_bytes(docs.sparkSession):
-        counted = materialize(count_terms(docs, id_col, text_col).where("n > 0"))
-    total = counted.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L"), F.sum("n_terms").alias("postings")).first()
-    n_docs, cells = total["N"], max(1, ceil((total["postings"] or 0) / s.cell_postings))
+        counted = materialize(count_terms(docs, id_col, text_col).where("n > 0"), "zstd")
+    total = counted.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
+    n_docs = total["N"]
     m = F.lit(100 - s.slope) + F.expr(f"({s.slope} * n * {n_docs}L) div {total['L'] or 1}L")
-    spread = counted.withColumn("m", m.cast("long")).repartitionByRange(cells, "m", F.xxhash64("doc_id", "terms")).sortWithinPartitions("m", F.xxhash64("doc_id", "terms"))
+    sorted_docs = counted.withColumn("m", m.cast("long")).sortWithinPartitions("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -213,7 +213,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush()
 
     with batch_bytes(docs.sparkSession):
-        return materialize(spread.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary")), n_docs
+        return materialize(sorted_docs.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary"), "zstd"), n_docs
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, s: RankSettings) -> Iterator[list[tuple[int | None, np.ndarray]]]:
