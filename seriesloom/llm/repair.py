@@ -20,77 +20,86 @@ _HEAD = struct.Struct("<4sIIQQB7x")  # magic, first rule id, rules, documents, s
 
 @dataclass(frozen=True)
 class RePairSettings:
-    """A round replaces all pairs at least 1/``ratio`` as frequent as the most frequent one; pairs rarer than ``least`` stay.
-
-    After ``rounds`` rounds what is left stays as it is, which costs size only.
-    """
+    """A round replaces all pairs at least 1/``ratio`` as frequent as the most frequent one, until no pair is found ``least`` times."""
 
     shard_tokens: int = 1 << 20
     least: int = 16
-    ratio: int = 8
-    rounds: int = 8
+    ratio: int = 32
     end_id: int = 2
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, settings: RePairSettings = RePairSettings()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where each document's symbols begin, and rules (left, right); rule k has the id base + k.
 
+    All pairs are counted once; after that only those whose count may matter still: pairs found ``least`` times, and pairs beside a replaced place.
     No pair spans two documents. Where chosen pairs overlap, the more frequent one is taken; the rest waits for a later round.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(seq.size, bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
+    open_ = ~last  # places whose pair may still be frequent
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(settings.rounds):
-        if seq.size < 2:
+    while True:
+        place = np.flatnonzero(open_)
+        if not place.size:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
-        keys[last[:-1]] = -1
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, ordered.size))
-        distinct = ordered[edge]
-        count[distinct == -1] = 0
+        pairs, start, count, place = _group(seq, place)
         most = int(count.max())
         if most < settings.least:
             break
         chosen = np.flatnonzero(count >= max(settings.least, most // settings.ratio))
-        chosen = chosen[np.lexsort((distinct[chosen], -count[chosen]))]
-        pairs = distinct[chosen]
-        rank = _places(keys, pairs)
-        before, after = np.append(pairs.size, rank[:-1]), np.append(rank[1:], pairs.size)
-        same = rank == before
-        place = np.arange(rank.size)
-        even = (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0  # of a run such as aaa every second place
-        at = np.flatnonzero((rank < pairs.size) & even & ((rank < before) | same) & (rank <= after))
-        used, where = np.unique(rank[at], return_inverse=True)
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
-        seq[at] = top + where
+        chosen = chosen[np.lexsort((pairs[chosen], -count[chosen]))]
+        order = np.where(count >= settings.least, chosen.size, chosen.size + 1).astype(np.int32)
+        order[chosen] = np.arange(chosen.size)
+        rank = np.full(seq.size + 1, chosen.size + 1, np.int32)  # one more entry: what stands before the first place
+        rank[place] = np.repeat(order, count)
+        open_ = rank[:-1] <= chosen.size
+        spot = np.flatnonzero(rank[:-1] < chosen.size)
+        here, before, after = rank[spot], rank[spot - 1], rank[spot + 1]
+        same = here == before
+        at = np.arange(spot.size)
+        even = (at - np.maximum.accumulate(np.where(same, 0, at))) % 2 == 0  # of a run such as aaa every second place
+        at = spot[even & ((here < before) | same) & (here <= after)]
+        taken = np.bincount(rank[at], minlength=chosen.size) > 0
+        pairs = pairs[chosen[taken]]
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
+        seq[at] = top + (np.cumsum(taken) - 1)[rank[at]]
         last[at] = last[at + 1]
+        open_[at] = True  # only pairs with a new symbol are new
+        open_[at[at > 0] - 1] = True
         keep = np.ones(seq.size, bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        top += used.size
+        seq, last, open_ = seq[keep], last[keep], open_[keep]
+        open_ &= ~last
+        top += pairs.size
     full = bounds[1:] > bounds[:-1]
     size = np.zeros(bounds.size - 1, np.int64)
     size[full] = np.diff(np.append(-1, np.flatnonzero(last)))
     return seq, np.concatenate([[0], np.cumsum(size)]), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
-def _places(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Place of every key in ``pairs``, or their number; two tables by hash first tell most other keys apart."""
-    bits = max(12, int(pairs.size * 8).bit_length())
-    h = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    there = np.zeros(1 << bits, bool)
-    there[h(pairs)] = True
-    out = np.full(keys.size, pairs.size, np.int64)
-    maybe = np.flatnonzero(there[h(keys)])
-    order = np.argsort(pairs)
-    slot = np.minimum(np.searchsorted(pairs[order], keys[maybe]), pairs.size - 1)
-    hit = pairs[order][slot] == keys[maybe]
-    out[maybe[hit]] = order[slot[hit]]
-    return out
+def _group(seq: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (left << 32 | right) at the places, where each one's places begin, how many they are, and the places in that order."""
+    key, right = seq[place].astype(np.int64), seq[place + 1].astype(np.int64)
+    low, high = int(place[-1]).bit_length(), int(max(key.max(), right.max())).bit_length()
+    if low + 2 * high < 64:  # one sort of plain numbers gives the order and the places
+        key <<= high
+        key |= right
+        key <<= low
+        key |= place
+        key.sort()
+        place = key & ((1 << low) - 1)
+        key >>= low
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        pairs = ((key[start] >> high) << 32) | (key[start] & ((1 << high) - 1))
+    else:
+        key = (key << 32) | right
+        by = np.argsort(key, kind="stable")
+        place, key = place[by], key[by]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        pairs = key[start]
+    return pairs, start, np.diff(np.append(start, place.size)), place
 
 
 def pack_shard(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, base: int, settings: RePairSettings = RePairSettings()) -> bytes:
@@ -168,9 +177,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """Encode every whole text, append ``end_id``, and write shards of about ``shard_tokens`` ids in ascending order of ``id_col``.
 
     The folder is a Parquet table of (part, seq, first_doc, n_docs, n_tokens, payload), so that Spark's commit protocol guards the files in
-    any store. Rows of one id follow each other in the order of a hash of their texts; ids must be integers, NULL ids are refused. NULL and empty texts have
+    any store. Rows of one id follow each other in the order of a hash of their texts; ids must be integers; NULL ids are refused before anything is written. NULL and empty texts have
     the end id alone. The tokenizers library encodes each distinct word that a task meets; a text that spells a special token is encoded by it as a whole.
     """
+    if not docs.where(F.col(id_col).cast("long").isNull()).isEmpty():
+        raise ValueError(f"column {id_col} holds NULL or a value that is no integer; shards need an id for every document")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = short_batches(docs).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "seq", "first_doc", "n_docs", "n_tokens")] + [T.StructField("payload", T.BinaryType())])

@@ -219,3 +219,45 @@ def test_queries_equal_their_sql(spark, name):
     want = con.execute(Q.SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(want.fetchall(), key=repr) == sorted(map(tuple, Q.QUERIES[name](spark, SF).select(*names).collect()), key=repr)
+
+
+# ---- shards ------------------------------------------------------------------------------------------------------------
+
+
+def test_grammar_leaves_no_frequent_pair():
+    from seriesloom.llm.repair import RePairSettings, Shard, compress, pack_shard
+
+    rng = np.random.default_rng(1)
+    s = RePairSettings(least=4)
+    copies = [rng.integers(0, 50, 400)] * 600  # deep rules: far more than 256 ids each
+    docs = [*copies, rng.integers(0, 50, 5000), np.zeros(999, int), np.zeros(0, int), np.array([7])]
+    ids, bounds = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    seq, begin, rules = compress(ids, bounds, 50, s)
+    ends = set((begin[1:] - 1).tolist())
+    pairs = Counter()
+    run = None
+    for i in range(len(seq) - 1):
+        if i in ends:
+            run = None
+            continue
+        p = (int(seq[i]), int(seq[i + 1]))
+        if run != p or p[0] != p[1]:
+            pairs[p] += 1
+            run = p
+        else:
+            run = None
+    assert max(pairs.values()) < s.least and len(seq) < 5000
+    shard = Shard(pack_shard(np.arange(len(docs)), ids, bounds, 50, s))
+    assert shard.lengths.max() == 400
+    for k in (0, 599, 600, 601, 602, 603):
+        assert np.array_equal(shard.read(k), docs[k])
+    assert np.array_equal(shard.read(600, 1234, 2345), docs[600][1234:2345])
+
+
+def test_shards_refuse_null_ids(spark, tmp_path):
+    from seriesloom.llm.repair import write_shards
+
+    table = spark.createDataFrame([(1, "a"), (None, "b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="doc_id"):
+        write_shards(table, str(tmp_path / "shards"), Q.TOKENIZER)
+    assert not (tmp_path / "shards").exists()
