@@ -52,15 +52,18 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, settings: RePairSet
         chosen = chosen[np.lexsort((pairs[chosen], -count[chosen]))]
         order = np.where(count >= settings.least, chosen.size, chosen.size + 1).astype(np.int32)
         order[chosen] = np.arange(chosen.size)
-        rank = np.full(seq.size + 1, chosen.size + 1, np.int32)  # one more entry: what stands before the first place
+        padded = np.full(seq.size + 2, chosen.size + 1, np.int32)
+        rank, before, after = padded[1:-1], padded[:-2], padded[2:]
         rank[place] = np.repeat(order, count)
-        open_ = rank[:-1] <= chosen.size
-        spot = np.flatnonzero(rank[:-1] < chosen.size)
-        here, before, after = rank[spot], rank[spot - 1], rank[spot + 1]
-        same = here == before
-        at = np.arange(spot.size)
-        even = (at - np.maximum.accumulate(np.where(same, 0, at))) % 2 == 0  # of a run such as aaa every second place
-        at = spot[even & ((here < before) | same) & (here <= after)]
+        open_ = rank <= chosen.size
+        take = (rank < before) & (rank <= after) & (rank < chosen.size)
+        again = np.flatnonzero((rank == before) & (rank < chosen.size))
+        if again.size:  # of a run such as aaa every second place
+            first = np.append(True, np.diff(again) != 1)
+            step = np.arange(again.size) - np.maximum.accumulate(np.where(first, np.arange(again.size), 0))
+            again = again[step % 2 == 1]
+            take[again] = rank[again] <= after[again]
+        at = np.flatnonzero(take)
         taken = np.bincount(rank[at], minlength=chosen.size) > 0
         pairs = pairs[chosen[taken]]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
@@ -168,9 +171,13 @@ class Shard:
         return self.expand(symbols[a:b])[skip : skip + stop - start]
 
     def read_all(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each document begins."""
-        total = np.concatenate([[0], np.cumsum(self.sizes(self.symbols))])
-        return self.expand(self.symbols), total[self.begin]
+        """All ids, and where each document begins. Every rule is opened once; symbols then copy their expansions."""
+        opened = self.expand(np.arange(self.base, self.base + self.lengths.size))
+        words = np.concatenate([np.arange(self.base, dtype=np.uint32), opened])
+        begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths])
+        sizes = self.sizes(self.symbols)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return words[_flat(begin[self.symbols], sizes)], total[self.begin]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", settings: RePairSettings = RePairSettings()) -> None:
