@@ -6,15 +6,52 @@ from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+
+def _same(a: Sequence, b: Sequence) -> bool:
+    """Whether two series keys are equal; missing parts are equal to each other."""
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: Sequence[str], reduce: Callable[[pd.DataFrame], tuple], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Sum what ``reduce`` makes of the rows of each series. Rows come sorted by series; the last series of a batch stays open for the next."""
+    key, total = None, None
+    for pdf in batches:
+        done = []
+        for k, part in (pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]) if len(pdf) else ():
+            made = reduce(part)
+            if total is not None and _same(k, key):
+                total = tuple(a + b for a, b in zip(total, made))
+                continue
+            if total is not None:
+                done.append([*key, *total])
+            key, total = k, made
+        if done:
+            yield pd.DataFrame(done, columns=[*by, *columns], dtype=object)
+    if total is not None:
+        yield pd.DataFrame([[*key, *total]], columns=[*by, *columns], dtype=object)
+
+
+def sum_arrays(partials: DataFrame, by: Sequence[str], arrays: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
+    """Per series the sums of its arrays, place by place, and of its counts. A task reads the arrays one by one and holds one sum; a series has one array per task that met it."""
+    by, arrays, counts = list(by), list(arrays), list(counts)
+    columns = [*arrays, *counts]
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _runs(batches, by, lambda part: tuple([np.sum(np.stack(part[a].to_list()), axis=0) for a in arrays] + [int(part[c].sum()) for c in counts]), columns)
+
+    near = partials.select(*by, *columns)
+    near = near.repartition(*by).sortWithinPartitions(*by) if by else near.repartition(1)
+    return near.mapInPandas(merge, near.schema)
 
 
 def gram(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
          design: Callable[[pd.DataFrame], np.ndarray] | None = None, width: str | None = None) -> DataFrame:
     """Per series the matrix Z'Z of the design rows, as its flat upper triangle ``gram``, and the row count ``n``.
 
-    Every Arrow batch is reduced to one small matrix per series inside its task; the
-    shuffle carries only those partial sums, whatever the number of rows of a series.
+    Rows are sorted by series inside their tasks, so a task gives one array per series that it
+    meets, whatever the number of rows and of Arrow batches; the shuffle carries only those.
     ``design`` turns a batch into its matrix, by default the input columns themselves.
     ``width`` names a column with the number of leading columns that a series needs, so
     that short series do not carry the matrix of the longest one.
@@ -22,28 +59,19 @@ def gram(df: DataFrame, by: Sequence[str], inputs: Sequence[str],
     by, inputs = list(by), list(inputs)
     picked = df.select(*by, *inputs, *([width] if width else []))
     ids = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields]
-    schema = ", ".join([*ids, "_g array<double>", "_c bigint"])
+    schema = ", ".join([*ids, "gram array<double>", "n bigint"])
+
+    def product(part: pd.DataFrame) -> tuple:
+        z = design(part) if design else part[inputs].to_numpy(dtype=float)
+        if width:
+            z = z[:, : int(part[width].iloc[0])]
+        return (z.T @ z)[np.triu_indices(z.shape[1])], len(part)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            parts = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            rows = []
-            for key, part in parts:
-                z = design(part) if design else part[inputs].to_numpy(dtype=float)
-                if width:
-                    z = z[:, : int(part[width].iloc[0])]
-                rows.append([*(key if by else ()), (z.T @ z)[np.triu_indices(z.shape[1])].tolist(), len(part)])
-            yield pd.DataFrame(rows, columns=[*by, "_g", "_c"])
-
-    partials = picked.mapInPandas(partial, schema)
-    cells = partials.select(*by, "_c", F.posexplode("_g").alias("_i", "_v"))
-    summed = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"), F.sum("_c").alias("_c"))
-    return summed.groupBy(*by).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("gram"),
-        F.max("_c").alias("n"),
-    )
+        return _runs(batches, by, product, ["gram", "n"])
+
+    near = picked.sortWithinPartitions(*by) if by else picked
+    return sum_arrays(near.mapInPandas(partial, schema), by, ["gram"], ["n"])
 
 
 def least_squares(g: np.ndarray, cols: Sequence[int], target: int, ridge: np.ndarray | None = None):
