@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import PANEL, PANEL_SQL, hourly, panel, query, rounded, revenue
 from seriesloom.forecast import arima, baseline, decomposable, tree
-from seriesloom.functions.features import tree_features
+from seriesloom.functions.features import cyclic_features, tree_features
+from seriesloom.operators import seasonal_test
 from seriesloom.operators.exog import carry_exog
 from seriesloom.operators.series import row_positions
 from seriesloom.operators.splits import split_ratio
@@ -184,6 +185,23 @@ def _(spark, sf):
     return arima.fc_arima(panel(spark, sf), PANEL, H, "D")
 
 
+@query("fc_arima_exog")
+def _(spark, sf):
+    """Calendar terms and the revenue of all orders, carried into the future, as regressors of each priority's revenue."""
+    df = cyclic_features(panel(spark, sf).join(revenue(spark, sf).withColumnRenamed("y", "total"), "ts"), "ts")
+    grid = carry_exog(df, baseline.future_dates(df, PANEL, H), PANEL, ["total"])
+    names = ["total", "feat_dofw_sin", "feat_dofw_cos", "feat_month_sin", "feat_month_cos"]
+    return arima.fc_arima(df, PANEL, H, "D", regressors=names, future=cyclic_features(grid, "ts"))
+
+
+@query("seasonal_difference")
+def _(spark, sf):
+    """Whether the weekly pattern of the panel and the daily one of hourly values drift."""
+    weekly = seasonal_test.seasonal_stability(panel(spark, sf), PANEL, 7).withColumn("period", F.lit(7))
+    daily = seasonal_test.seasonal_stability(hourly(spark, sf), PANEL, 24).withColumn("period", F.lit(24))
+    return weekly.unionByName(daily)
+
+
 @query("fc_arima_manual")
 def _(spark, sf):
     """Hourly series, orders (1,1,1)(1,1,1,24)."""

@@ -20,6 +20,19 @@ def _(spark, sf):
     return _in_band(QUERIES["fc_arima"](spark, sf), "lo", "hi")
 
 
+@query("fc_arima_exog_grid", _GRID_SQL)
+def _(spark, sf):
+    return _in_band(QUERIES["fc_arima_exog"](spark, sf), "lo", "hi")
+
+
+@query("seasonal_difference_rule", f"""WITH {PANEL_SQL}, {HOURLY_SQL}
+SELECT grp, 7 AS period, count(*) AS n, 1.69202 AS critical, true AS rule FROM pan GROUP BY grp UNION ALL SELECT grp, 24, count(*), 5.098624, true FROM hr GROUP BY grp""")
+def _(spark, sf):
+    out = QUERIES["seasonal_difference"](spark, sf)
+    rule = (F.col("ch_stat") > 0) & ((F.col("ch_stat") > F.col("ch_critical")) == (F.col("seasonal_d") == 1))
+    return out.select("grp", "period", "n", F.col("ch_critical").alias("critical"), rule.alias("rule"))
+
+
 @query("fc_decomposable_grid", _GRID_SQL)
 def _(spark, sf):
     return _in_band(QUERIES["fc_decomposable"](spark, sf), "lo", "hi")

@@ -4,22 +4,27 @@ A long autoregression gives the innovations; then the series is regressed on its
 lags and on lagged innovations. Both regressions are sums formed by Spark in padded
 blocks. All candidate orders are sub-blocks of one matrix per series, so the order
 search touches reduced rows only. Seasonal terms enter additively at lags m, 2m.
+With regressors the series is a regression whose errors follow such a model: the
+coefficients come from differenced rows, first plainly, then weighted by an
+autoregression of the residuals, and the errors are modelled as above.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from statistics import NormalDist
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions.linalg import gram, least_squares, square
 from seriesloom.operators.clean import add_steps
 from seriesloom.operators.index import IDX, LEN, OWN, BLK, block_window, halo_blocks, order_series
-from seriesloom.operators.joins import attach, series_join
+from seriesloom.operators.joins import attach, number_or_null, series_join, side_join
 from seriesloom.operators.profile import present
+from seriesloom.operators.seasonal_test import seasonal_order
 from seriesloom.operators.stationarity import stationarity_kpss
 from seriesloom.functions.features import diff_regular
 from seriesloom.session import materialize
@@ -41,6 +46,7 @@ class ArimaConfig:
     max_d: int = 2
     max_sp: int = 2
     max_sq: int = 2
+    max_sd: int = 1
     p: int = 1
     d: int = 1
     q: int = 1
@@ -79,13 +85,98 @@ def difference_order(df: DataFrame, spec: SeriesSpec, max_d: int = 2) -> DataFra
     return materialize(order.select(*spec.by, F.coalesce(*[f"_d{d}" for d in range(max_d)], F.lit(max_d)).alias("d")))
 
 
-def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", cfg: ArimaConfig = ArimaConfig()) -> DataFrame:
+def regress(gram_column: str, n_column: str) -> Column:
+    """Coefficients of the last column of a matrix of sums on the others, or NULL where there are too few rows."""
+    @F.pandas_udf("array<double>")
+    def solve(flat: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for v, rows_n in zip(flat, n):
+            g = square(v)
+            k = g.shape[0] - 1
+            out.append(least_squares(g, range(k), k)[0].tolist() if rows_n > k + 2 else None)
+        return pd.Series(out)
+
+    return solve(gram_column, n_column)
+
+
+def _differenced(column: str, window, m: int, seasonal: bool) -> Column:
+    """(1-B)^d (1-B^m)^sd of a column, with d and sd from the row's own columns."""
+    def lagged(k: int):
+        return F.lag(column, k).over(window) if k else F.col(column)
+
+    def diff(at: int):
+        y0, y1, y2 = lagged(at), lagged(at + 1), lagged(at + 2)
+        return F.when(F.col("d") == 0, y0).when(F.col("d") == 1, y0 - y1).otherwise(y0 - 2 * y1 + y2)
+
+    return F.when(F.col("sd") == 1, diff(0) - diff(m)).otherwise(diff(0)) if seasonal else diff(0)
+
+
+def _less(column: str, regressors: Sequence[str], beta: str, offset: int = 2) -> Column:
+    """A column less the effect of the regressors; ``beta`` holds a constant first."""
+    return F.col(column) - sum((F.element_at(beta, k + offset) * F.col(x) for k, x in enumerate(regressors)), F.lit(0.0))
+
+
+def difference_orders(rows: DataFrame, spec: SeriesSpec, cfg: ArimaConfig, m: int) -> DataFrame:
+    """Orders (d, sd) of each series: first whether its seasonal pattern drifts, then the KPSS test on what seasonal differences leave."""
+    seasonal = cfg.seasonal and cfg.max_sd > 0 and m > 1
+    if seasonal:
+        order = seasonal_order(rows, spec, m)
+        both = attach(rows, order, spec.by)
+        blocks = halo_blocks(both, back=m)
+        step = F.when(F.col("sd") == 1, F.col(spec.y) - F.lag(spec.y, m).over(block_window(spec.by))).otherwise(F.col(spec.y))
+        rows = blocks.withColumn("_sy", step).filter(F.col(OWN) & F.col("_sy").isNotNull()).drop(BLK, OWN, IDX, LEN, spec.y).withColumnRenamed("_sy", spec.y)
+        rows = materialize(rows)
+    if cfg.max_d > 0:
+        found = difference_order(rows, spec, cfg.max_d)
+    else:
+        found = rows.select(*spec.by).distinct().withColumn("d", F.lit(0)) if spec.by else rows.sparkSession.range(1).select(F.lit(0).alias("d"))
+    return materialize(series_join(found, order, spec.by) if seasonal else found.withColumn("sd", F.lit(0)))
+
+
+def regression_coefficients(steps: DataFrame, spec: SeriesSpec, regressors: Sequence[str], m: int, seasonal: bool) -> DataFrame:
+    """Per series the array (constant, one coefficient per regressor) ``_beta`` of a regression of the differenced target ``_w`` on differenced regressors.
+
+    Feasible generalised least squares: plain coefficients, an autoregression of the residuals at lags 1 to 10, m and 2m, and the regression of the filtered columns.
+    Each step is one small matrix of sums per series. Series too short for the weights keep the plain coefficients, shorter ones 0.
+    """
+    names = [f"_x{k}" for k in range(len(regressors))]
+    one = F.lit(1.0).alias("_one")
+    plain = gram(steps.filter(F.col(IDX) >= F.col("_s")).select(*spec.by, one, *names, "_w"), spec.by, ["_one", *names, "_w"])
+    plain = materialize(plain.select(*spec.by, regress("gram", "n").alias("_b0")))
+    steps = attach(steps, plain, spec.by).withColumn("_u", _less("_w", names, "_b0"))
+    lags = list(dict.fromkeys([*range(1, 11), *([m, 2 * m] if seasonal else [])]))
+    w = block_window(spec.by)
+    blocks = halo_blocks(steps, back=max(lags))
+    past = blocks.select("*", *[F.lag("_u", k).over(w).alias(f"_u{k}") for k in lags]).filter(F.col(OWN)).drop(BLK, OWN)
+    full = F.col(IDX) >= F.col("_s") + max(lags)
+    weights = gram(past.filter(full).select(*spec.by, one, *[f"_u{k}" for k in lags], "_u"), spec.by, ["_one", *[f"_u{k}" for k in lags], "_u"])
+    weights = materialize(weights.select(*spec.by, regress("gram", "n").alias("_phi")))
+    blocks = halo_blocks(attach(steps.drop("_u"), weights, spec.by), back=max(lags))
+    filtered = {
+        c: sum((-F.element_at("_phi", i + 2) * F.lag(c, k).over(w) for i, k in enumerate(lags)), F.col(c)).alias(c) for c in [*names, "_w"]
+    }
+    ready = blocks.select(*spec.by, OWN, IDX, "_s", *filtered.values()).filter(F.col(OWN) & full & F.col("_w").isNotNull())
+    better = gram(ready.select(*spec.by, one, *names, "_w"), spec.by, ["_one", *names, "_w"])
+    better = better.select(*spec.by, regress("gram", "n").alias("_b1"))
+    zeros = F.array(*[F.lit(0.0)] * (len(names) + 1))
+    return materialize(series_join(plain, better, spec.by).select(*spec.by, F.coalesce("_b1", "_b0", zeros).alias("_beta")))
+
+
+def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", cfg: ArimaConfig = ArimaConfig(),
+             regressors: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
     """Forecast rows (h, ts, yhat, lo, hi, level) with the chosen orders as ``model_order``.
 
-    Series too short for the regressions keep their last value, without a band.
+    ``auto`` takes the seasonal difference order from the stability of the seasonal pattern, the difference order from
+    the KPSS test and the other orders by AIC. With ``regressors`` (columns of ``df``), ``future`` has their values for
+    the forecast times of each series, and the coefficients come back as ``coefficients``; scaling a regressor changes
+    no forecast. Rows without a value of the target or of a regressor are left out; where a future value is missing the
+    forecast is NULL. Series too short for the regressions keep their last value, without a band.
     """
+    regressors = list(regressors)
+    if regressors and future is None:
+        raise ValueError("regressors need their future values")
     m = cfg.m(freq)
-    sd = cfg.sd if (cfg.seasonal and not cfg.auto) else 0
+    seasonal = cfg.seasonal and m > 1 and (cfg.max_sd if cfg.auto else cfg.sd) > 0
     cands = _candidates(cfg)
     max_p, max_q = max(c[0] for c in cands), max(c[1] for c in cands)
     max_sp, max_sq = max(c[2] for c in cands), max(c[3] for c in cands)
@@ -95,26 +186,31 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
     deepest = max([1, *ar_lags, *ma_lags])
 
     y = F.col(spec.y).cast("double")
-    base = present(df, spec).select(*spec.by, spec.ts, *spec.tie, y.alias(spec.y))
+    levels = [f"_l{k}" for k in range(len(regressors))]
+    base = present(df, spec).select(*spec.by, spec.ts, *spec.tie, y.alias(spec.y), *[number_or_null(c).cast("double").alias(n) for c, n in zip(regressors, levels)])
+    base = base.dropna(subset=levels) if levels else base
     rows = order_series(base, spec).indexed()
-    if cfg.auto and cfg.max_d > 0:
-        rows = attach(rows, difference_order(base, spec, cfg.max_d), spec.by)
+    if cfg.auto:
+        tested = rows
+        if levels:  # orders are those of the errors
+            plain = gram(rows.withColumn("_one", F.lit(1.0)), spec.by, ["_one", *levels, spec.y])
+            plain = materialize(plain.select(*spec.by, F.coalesce(regress("gram", "n"), F.array(*[F.lit(0.0)] * (len(levels) + 1))).alias("_b")))
+            tested = attach(rows, plain, spec.by).withColumn(spec.y, _less(spec.y, levels, "_b")).drop("_b", *levels)
+        rows = attach(rows, difference_orders(tested, spec, cfg, m), spec.by)
     else:
-        rows = rows.withColumn("d", F.lit(0 if cfg.auto else cfg.d))
+        rows = rows.withColumns({"d": F.lit(cfg.d), "sd": F.lit(cfg.sd if seasonal else 0)})
 
     # 1. Differences.
     w = block_window(spec.by)
-
-    def lagged(k: int):
-        return F.lag(spec.y, k).over(w) if k else F.col(spec.y)
-
-    def diff(at: int):
-        y0, y1, y2 = lagged(at), lagged(at + 1), lagged(at + 2)
-        return F.when(F.col("d") == 0, y0).when(F.col("d") == 1, y0 - y1).otherwise(y0 - 2 * y1 + y2)
-
-    steps = halo_blocks(rows, back=2 + m * sd)
-    steps = steps.withColumn("_w", diff(0) - diff(m) if sd else diff(0)).filter(F.col(OWN)).drop(BLK, OWN)
-    steps = steps.withColumn("_s", F.col("d") + m * sd)
+    steps = halo_blocks(rows, back=2 + m * seasonal)
+    steps = steps.withColumns({"_w": _differenced(spec.y, w, m, seasonal), **{f"_x{k}": _differenced(c, w, m, seasonal) for k, c in enumerate(levels)}})
+    steps = steps.filter(F.col(OWN)).drop(BLK, OWN).withColumn("_s", F.col("d") + m * F.col("sd"))
+    if levels:
+        steps = materialize(steps)
+        beta = regression_coefficients(steps, spec, levels, m, cfg.seasonal and m > 1)
+        names = [f"_x{k}" for k in range(len(levels))]
+        steps = attach(steps, beta, spec.by)
+        steps = steps.withColumns({spec.y: _less(spec.y, levels, "_beta"), "_w": _less("_w", names, "_beta")}).drop("_beta", *names, *levels)
 
     # 2. Innovations from a long autoregression.
     blocks = halo_blocks(steps, back=long_ar)
@@ -123,21 +219,12 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
     full = wide.filter(F.col(IDX) >= F.col("_s") + long_ar)
     first = gram(full.withColumn("_one", F.lit(1.0)), spec.by, ["_one", *names, "_w"])
 
-    @F.pandas_udf("array<double>")
-    def regress(flat: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for v, rows_n in zip(flat, n):
-            g = square(v)
-            k = g.shape[0] - 1
-            out.append(least_squares(g, range(k), k)[0].tolist() if rows_n > k + 2 else None)
-        return pd.Series(out)
-
     phi = first.select(*spec.by, regress("gram", "n").alias("_phi"))
     fitted = F.element_at("_phi", 1)
     for k in range(1, long_ar + 1):
         fitted = fitted + F.element_at("_phi", k + 1) * F.col(f"_w{k}")
     shocks = attach(wide, phi, spec.by).withColumn("_e", F.when(F.col(IDX) >= F.col("_s") + long_ar, F.col("_w") - fitted))
-    shocks = materialize(shocks.select(*spec.by, spec.ts, spec.y, IDX, LEN, "d", "_s", "_w", "_e"))
+    shocks = materialize(shocks.select(*spec.by, spec.ts, spec.y, IDX, LEN, "d", "sd", "_s", "_w", "_e"))
 
     # 3. One matrix of sums for every candidate order.
     blocks = halo_blocks(shocks, back=deepest)
@@ -171,29 +258,35 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
     chosen = second.select(*spec.by, choose("gram", "n").alias("_f"))
 
     # 4. Recursion on the last values of each series.
-    tail_rows = max(deepest, 2 + m * sd + 2)
+    tail_rows = max(deepest, 4 + m * seasonal)
     tail = shocks.filter(F.col(IDX) >= F.col(LEN) - tail_rows).groupBy(*spec.by).agg(
         F.sort_array(F.collect_list(F.struct(IDX, F.col(spec.y).alias("y"), F.col("_w").alias("w"), F.col("_e").alias("e")))).alias("_t"),
-        F.max("d").alias("d"), F.max(spec.ts).alias("_last"),
+        F.max("d").alias("d"), F.max("sd").alias("sd"), F.max(spec.ts).alias("_last"),
     )
     state = series_join(tail, chosen, spec.by)
     z = NormalDist().inv_cdf(0.5 + cfg.level / 2)
 
     @F.pandas_udf("array<struct<h int, yhat double, lo double, hi double>>")
-    def project(ys: pd.Series, ws: pd.Series, es: pd.Series, ds: pd.Series, fit: pd.DataFrame) -> pd.Series:
+    def project(ys: pd.Series, ws: pd.Series, es: pd.Series, ds: pd.Series, sds: pd.Series, fit: pd.DataFrame) -> pd.Series:
         out = []
         for i in range(len(ys)):
             beta = fit["beta"].iloc[i]
-            out.append(_project(ys.iloc[i], ws.iloc[i], es.iloc[i], int(ds.iloc[i]), sd, m, beta, fit["lags"].iloc[i],
+            out.append(_project(ys.iloc[i], ws.iloc[i], es.iloc[i], int(ds.iloc[i]), int(sds.iloc[i]), m, beta, fit["lags"].iloc[i],
                                 fit["kinds"].iloc[i], fit["sigma2"].iloc[i], horizon, z))
         return pd.Series(out)
 
     column = {c: field_of("_t", c) for c in ("y", "w", "e")}
-    paths = state.select(*spec.by, "_last", "d", "_f", F.explode(project(column["y"], column["w"], column["e"], F.col("d"), F.col("_f"))).alias("_p"))
+    paths = state.select(*spec.by, "_last", "d", "sd", "_f", F.explode(project(column["y"], column["w"], column["e"], F.col("d"), F.col("sd"), F.col("_f"))).alias("_p"))
     order = F.when(F.col("_f.p").isNotNull(), F.format_string("(%d,%d,%d)(%d,%d,%d,%d)", F.col("_f.p"), F.col("d"), F.col("_f.q"),
-                                                              F.col("_f.sp"), F.lit(sd), F.col("_f.sq"), F.lit(m)))
-    return paths.select(*spec.by, "_p.h", add_steps(F.col("_last"), F.col("_p.h"), freq).alias(spec.ts), "_p.yhat", "_p.lo", "_p.hi",
-                        F.lit(cfg.level).alias("level"), order.alias("model_order"))
+                                                              F.col("_f.sp"), F.col("sd"), F.col("_f.sq"), F.lit(m)))
+    out = paths.select(*spec.by, "_p.h", add_steps(F.col("_last"), F.col("_p.h"), freq).alias(spec.ts), "_p.yhat", "_p.lo", "_p.hi",
+                       F.lit(cfg.level).alias("level"), order.alias("model_order"))
+    if not levels:
+        return out
+    ahead = future.select(*spec.by, spec.ts, *[number_or_null(c).cast("double").alias(n) for c, n in zip(regressors, levels)])
+    effect = sum((F.element_at("_beta", k + 2) * F.col(n) for k, n in enumerate(levels)), F.lit(0.0))
+    out = series_join(side_join(out, ahead, [*spec.by, spec.ts]), beta, spec.by)
+    return out.withColumns({c: F.col(c) + effect for c in ("yhat", "lo", "hi")}).withColumn("coefficients", F.slice("_beta", 2, len(levels))).drop("_beta", *levels)
 
 
 def _project(y, w, e, d, sd, m, beta, lags, kinds, sigma2, horizon, z) -> list[tuple]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seriesloom.session import materialize, written_bytes
 
@@ -73,6 +73,15 @@ def attach(big: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left
         if how == "inner":
             return big.limit(0)
         row = {c: None for c in stats.columns}
-    return big.select(
-        "*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema.fields]
-    )
+    return big.select("*", *[_literal(row[f.name], f.dataType).alias(f.name) for f in stats.schema.fields])
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """A value of any type as a literal, structs and arrays in it too."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
