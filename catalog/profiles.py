@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import GAP_SQL, HOURLY_SQL, ONE, PANEL, PANEL_SQL, RAW, RAW_PANEL, RAW_SQL, REVENUE_SQL, gapped, hourly, panel, query, raw_events, revenue, rounded, table
 from seriesloom.operators import advice, clean, profile, spectral, stationarity
+from seriesloom.operators.index import order_series
 from seriesloom.operators.joins import series_join
 from seriesloom.plans.report import series_report
 from seriesloom.session import materialize
@@ -206,9 +207,32 @@ def _(spark, sf):
     return rounded(spectral.seasonality_decomp(hourly(spark, sf), PANEL).na.fill(0, ["decomp_period"]), 6, "decomp_strength")
 
 
-@query("seasonality_hybrid")
+def _strength_sql(m: int) -> str:
+    """Seasonal share of the last ten periods of the series of ``src`` that have period m."""
+    return f"""(WITH rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts DESC) AS j FROM all_src JOIN pe USING (grp) WHERE period = {m}),
+src AS (SELECT grp, ts, y FROM rk WHERE j <= {10 * m}), {_decompose_sql(m)}
+SELECT grp, var_pop(seasonal) / (var_pop(seasonal) + var_pop(resid)) AS s FROM d GROUP BY grp)"""
+
+
+def _hybrid_sql(source: str) -> str:
+    """Both halves, and ``hy``: what either of them finds in the series of the select ``source``."""
+    return f"""all_src AS ({source}), src AS (SELECT * FROM all_src){_MODE}, fr AS (SELECT grp, {_FREQ} AS frequency FROM md),
+pe AS (SELECT *, CASE frequency WHEN 'D' THEN 7 ELSE 24 END AS period FROM fr), {_acf_sql(26, 'src')},
+nr AS (SELECT ac.grp, lag, r FROM ac JOIN pe USING (grp) WHERE lag BETWEEN period - 2 AND period + 2 AND lag <= least(floor(n / 2), period * 3, 100)),
+bs AS (SELECT grp, max(r) AS r, arg_max(lag, (r, -lag)) AS lag FROM nr GROUP BY grp),
+ds AS (SELECT * FROM {_strength_sql(7)} UNION ALL SELECT * FROM {_strength_sql(24)}),
+hv AS (SELECT grp, period, coalesce(r > CASE frequency WHEN 'D' THEN 0.25e0 ELSE 0.15e0 END, false) AS ha, r, lag, coalesce(s > 0.1e0, false) AS hd, s FROM pe LEFT JOIN bs USING (grp) LEFT JOIN ds USING (grp)),
+hy AS (SELECT grp, ha OR hd AS detected, CASE WHEN ha AND (NOT hd OR r > s) THEN lag WHEN hd THEN period ELSE 0 END AS seasonal_period,
+  CASE WHEN ha AND hd THEN greatest(r, s) WHEN ha THEN r WHEN hd THEN s ELSE 0 END AS strength,
+  CASE WHEN ha AND hd THEN 'acf_and_decomposition' WHEN ha THEN 'acf' WHEN hd THEN 'decomposition' ELSE 'none' END AS method FROM hv)"""
+
+
+@query("seasonality_hybrid", f"""
+WITH {PANEL_SQL}, {HOURLY_SQL}, {_hybrid_sql('SELECT grp, ts, y FROM pan UNION ALL SELECT grp, ts, y FROM hr')}
+SELECT grp, detected, CAST(seasonal_period AS INTEGER) AS seasonal_period, round(strength, 6) AS strength, round(strength * 100, 4) AS confidence, method FROM hy""")
 def _(spark, sf):
-    return spectral.seasonality_hybrid(panel(spark, sf).unionByName(hourly(spark, sf)), PANEL)
+    out = spectral.seasonality_hybrid(panel(spark, sf).unionByName(hourly(spark, sf)), PANEL)
+    return rounded(rounded(out, 6, "strength"), 4, "confidence").na.fill(0, ["seasonal_period"])
 
 
 @query("stationarity_adf")
@@ -232,28 +256,46 @@ def _(spark, sf):
     return rounded(stationarity.stationarity_kpss(panel(spark, sf), PANEL), 6, "kpss_stat", "kpss_p")
 
 
+#: Sums of revenue over time: a unit root by construction.
+_WALK_SQL = "SELECT 'walk ' || grp AS grp, ts, sum(y) OVER (PARTITION BY grp ORDER BY ts) AS y FROM pan"
+
+
+def _walk(spark, sf):
+    summed = stationarity.running_sum(order_series(panel(spark, sf), PANEL).indexed(), PANEL, "y")
+    return summed.select(F.concat(F.lit("walk "), "grp").alias("grp"), "ts", F.col("_cum").alias("y"))
+
+
 _REPORT_SQL = f"""
 WITH {GAP_SQL}, {HOURLY_SQL}, {RAW_SQL},
-src AS (SELECT 'orders ' || grp AS grp, ts, round(y, 2) AS y FROM gap UNION ALL SELECT 'raw ' || grp, ts, y FROM raw UNION ALL SELECT 'nation', CAST('2024-01-01' AS TIMESTAMP) + to_days(n_nationkey), CAST(n_regionkey AS DOUBLE) FROM nation),
+src AS (SELECT 'orders ' || grp AS grp, ts, round(y, 2) AS y FROM gap UNION ALL SELECT 'raw ' || grp, ts, y FROM raw UNION ALL {_WALK_SQL}
+  UNION ALL SELECT 'thin ' || grp, ts, CASE WHEN event_id % 13 <> 0 THEN y END FROM raw UNION ALL SELECT 'steep ' || grp, ts, y * y * y FROM raw
+  UNION ALL SELECT 'nation', CAST('2024-01-01' AS TIMESTAMP) + to_days(n_nationkey), CAST(n_regionkey AS DOUBLE) FROM nation),
 q AS (SELECT grp, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM src GROUP BY grp),
 st AS (SELECT grp, count(y) AS count, count(*) FILTER (y IS NULL) / count(*) * 100 AS missing_pct,
   count(*) FILTER (y < q1 - 1.5e0 * (q3 - q1) OR y > q3 + 1.5e0 * (q3 - q1)) / count(y) * 100 AS outlier_pct, count(*) AS n FROM src JOIN q USING (grp) GROUP BY grp)"""
 
 
 def _alert_report(spark, sf):
-    """Counts, missing and outlier shares of three kinds of series; the unit-root test is left open."""
-    a = rounded(gapped(spark, sf), 2, "y").select(F.concat(F.lit("orders "), "grp").alias("grp"), "ts", "y")
-    b = raw_events(spark, sf).select(F.concat(F.lit("raw "), "grp").alias("grp"), "ts", "y")
+    """Counts, missing and outlier shares and the unit-root test of six kinds of series: with gaps, as they are, sums over time, thinned, steep and short ones."""
+    a = rounded(gapped(spark, sf), 2, "y").select(F.concat(F.lit("orders "), "grp").alias("grp"), "ts", "y", F.lit(0).cast("long").alias("event_id"))
+    raw = raw_events(spark, sf)
+    kinds = {"raw ": F.col("y"), "thin ": F.when(F.col("event_id") % 13 != 0, F.col("y")), "steep ": F.col("y") * F.col("y") * F.col("y")}
+    events = raw.select("ts", "event_id", F.explode(F.array(*[F.struct(F.concat(F.lit(k), "grp").alias("grp"), v.alias("y")) for k, v in kinds.items()])).alias("_k"))
     n = table(spark, sf, "nation").select(F.lit("nation").alias("grp"), F.timestamp_add("DAY", F.col("n_nationkey"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.col("n_regionkey").cast("double").alias("y"))
-    rows = materialize(a.unionByName(b).unionByName(n))
-    out = series_join(profile.describe_target(rows, PANEL).select("grp", "count"), profile.outlier_share(rows, PANEL), ["grp"])
-    out = series_join(out, clean.missing_summary(rows, PANEL), ["grp"])
-    return out.withColumn("adf_stationary", F.lit(None).cast("boolean"))
+    rows = a.unionByName(events.select("_k.grp", "ts", "_k.y", "event_id"))
+    for other in (n, _walk(spark, sf)):
+        rows = rows.unionByName(other.withColumn("event_id", F.lit(0).cast("long")))
+    rows = materialize(rows)
+    out = series_join(profile.describe_target(rows, RAW_PANEL).select("grp", "count"), profile.outlier_share(rows, RAW_PANEL), ["grp"])
+    out = series_join(out, clean.missing_summary(rows, RAW_PANEL), ["grp"])
+    return series_join(out, stationarity.stationarity_adf(rows, RAW_PANEL).select("grp", "adf_stationary"), ["grp"])
 
 
+# The unit-root test itself is no SQL, but its outcome is known: sums over time have a unit root, and 25 region numbers are too few to rule one out.
 @query("quality_alerts", _REPORT_SQL + """
 SELECT grp, 'error' AS level, 'many_missing_values' AS code, round(missing_pct, 6) AS value FROM st WHERE missing_pct > 10
 UNION ALL SELECT grp, 'warning', 'missing_values', round(missing_pct, 6) FROM st WHERE missing_pct > 5 AND missing_pct <= 10
+UNION ALL SELECT grp, 'info', 'not_stationary', NULL FROM st WHERE grp LIKE 'walk %' OR grp = 'nation'
 UNION ALL SELECT grp, 'warning', 'many_outliers', round(outlier_pct, 6) FROM st WHERE outlier_pct > 5
 UNION ALL SELECT grp, 'warning', 'few_rows', count FROM st WHERE count < 30""")
 def _(spark, sf):
@@ -271,25 +313,25 @@ def _(spark, sf):
 
 
 _SUGGEST_SRC = f"""
-WITH {PANEL_SQL}, {HOURLY_SQL}, {_SEAS_SRC}, {_acf_sql(26, 'src')},
-st AS (SELECT grp, any_value(n) AS n, max(CASE WHEN (grp LIKE '%-%' AND lag BETWEEN 5 AND 9) OR (grp NOT LIKE '%-%' AND lag BETWEEN 22 AND 26) THEN r END)
-  > CASE WHEN grp LIKE '%-%' THEN 0.25e0 ELSE 0.15e0 END AS det FROM ac GROUP BY grp)"""
+WITH {PANEL_SQL}, {HOURLY_SQL}, {_hybrid_sql(f'SELECT grp, ts, y FROM pan UNION ALL SELECT grp, ts, y FROM hr UNION ALL {_WALK_SQL}')},
+st AS (SELECT grp, n, detected AS det, grp NOT LIKE 'walk %' AS steady FROM hy JOIN (SELECT grp, count(*) AS n FROM all_src GROUP BY grp) USING (grp))"""
 
 
-def _acf_report(spark, sf):
-    """Row counts, and seasonality by autocorrelation alone."""
-    both = materialize(panel(spark, sf).unionByName(hourly(spark, sf)))
-    counts = both.groupBy("grp").agg(F.count(F.lit(1)).alias("count"))
-    return series_join(counts, spectral.seasonality_acf(both, PANEL).select("grp", F.col("acf_detected").alias("detected")), ["grp"])
+def _season_report(spark, sf):
+    """Row counts, seasonality by both methods and the unit-root test of daily, hourly and summed series."""
+    both = materialize(panel(spark, sf).unionByName(hourly(spark, sf)).unionByName(_walk(spark, sf)))
+    out = both.groupBy("grp").agg(F.count(F.lit(1)).alias("count"))
+    out = series_join(out, spectral.seasonality_hybrid(both, PANEL).select("grp", "detected"), ["grp"])
+    return series_join(out, stationarity.stationarity_adf(both, PANEL).select("grp", "adf_stationary"), ["grp"])
 
 
 @query("model_suggestions", _SUGGEST_SRC + """
 SELECT grp, 1 AS priority, 'Prophet' AS model, 'seasonal' AS reason FROM st WHERE det
-UNION ALL SELECT grp, 2, 'ARIMA', 'stationary_or_not_seasonal' FROM st WHERE NOT det
+UNION ALL SELECT grp, 2, 'ARIMA', 'stationary_or_not_seasonal' FROM st WHERE steady OR NOT det
 UNION ALL SELECT grp, 3, 'XGBoost', 'enough_rows' FROM st WHERE n > 100 UNION ALL SELECT grp, 4, 'LightGBM', 'enough_rows' FROM st WHERE n > 100
 UNION ALL SELECT grp, 5, 'Naive', 'baseline' FROM st UNION ALL SELECT grp, 6, 'Seasonal Naive', 'seasonal_baseline' FROM st WHERE det""")
 def _(spark, sf):
-    return advice.model_suggestions(_acf_report(spark, sf).withColumn("adf_stationary", F.lit(False)), ["grp"])
+    return advice.model_suggestions(_season_report(spark, sf), ["grp"])
 
 
 @query("model_scoring", _SUGGEST_SRC + """,
@@ -301,7 +343,8 @@ s AS (SELECT grp, model, category, CASE WHEN n < k THEN 0 ELSE 6
   + CASE WHEN f THEN 0 ELSE 0.5e0 END + CASE WHEN g THEN 1.5e0 ELSE -1 END
   + CASE WHEN model IN ('arima', 'prophet') AND n BETWEEN 50 AND 500 THEN 1.5e0 WHEN model IN ('xgboost', 'lightgbm') AND n >= 200 THEN 1.5e0
          WHEN model = 'lstm' AND n >= 1000 THEN 2 WHEN model = 'lstm' AND n < 500 THEN -2 ELSE 0 END
-  + CASE WHEN model = 'arima' THEN 1 ELSE 0 END + CASE WHEN model IN ('naive', 'seasonal_naive') THEN 1 ELSE 0 END END AS score FROM st, m)
+  + CASE WHEN model = 'arima' AND NOT steady THEN 1 ELSE 0 END + CASE WHEN model IN ('naive', 'seasonal_naive') THEN 1 ELSE 0 END END AS score FROM st, m)
 SELECT grp, model, category, CAST(score AS DOUBLE) AS score, score >= 7 AS recommended FROM s""")
 def _(spark, sf):
-    return advice.model_scoring(_acf_report(spark, sf).withColumn("stationary", F.lit(False)), ["grp"], has_features=False, has_groups=True)
+    report = _season_report(spark, sf).withColumnRenamed("adf_stationary", "stationary")
+    return advice.model_scoring(report, ["grp"], has_features=False, has_groups=True)
