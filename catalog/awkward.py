@@ -89,12 +89,15 @@ def _(spark, sf):
     return rounded(ewm_feature(bad(spark, sf), PANEL, 7, "e").select("grp", "ts", "e"), 2, "e")
 
 
-@query("nan_rank", """SELECT n_name AS model, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) END AS r2,
-  row_number() OVER (ORDER BY CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END DESC NULLS LAST, n_name) AS rank FROM nation""")
+@query("nan_rank", """SELECT o_custkey, o_orderpriority AS model, CASE WHEN count(*) > 1 THEN (max(o_totalprice) - min(o_totalprice)) / max(o_totalprice) END AS r2,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN count(*) > 1 THEN (max(o_totalprice) - min(o_totalprice)) / max(o_totalprice) END DESC NULLS LAST, o_orderpriority) AS rank
+FROM orders GROUP BY o_custkey, o_orderpriority""")
 def _(spark, sf):
-    r2 = F.when(F.col("n_nationkey") % 5 == 0, float("nan")).otherwise(F.col("n_nationkey").cast("double"))
-    ranked = rank_models(table(spark, sf, "nation").select(F.col("n_name").alias("model"), r2.alias("r2")), "r2")
-    return _plain(ranked, "r2").withColumn("rank", F.col("rank").cast("long"))
+    """Priorities of each customer ranked by the spread of their prices; a single order has none, which is NaN."""
+    price = F.col("o_totalprice")
+    spread = F.when(F.count("*") > 1, (F.max(price) - F.min(price)) / F.max(price)).otherwise(float("nan"))
+    scores = table(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("model")).agg(spread.alias("r2"))
+    return _plain(rank_models(scores, "r2", ["o_custkey"]), "r2").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("suffix_coerce", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 17 = 0 THEN 'F' ELSE '' END AS code, CAST(o_custkey AS DOUBLE) AS plain,

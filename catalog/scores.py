@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from time import perf_counter
+
 from pyspark.sql import functions as F
 
 from catalog.base import HOURLY_SQL, PANEL, PANEL_SQL, hourly, panel, query, rounded, table
@@ -23,14 +25,22 @@ p AS (SELECT 'naive' AS model, test.grp, test.ts, test.actual, known.y AS pred F
   UNION ALL SELECT 'seasonal_naive', test.grp, test.ts, test.actual, known.y FROM test JOIN known ON known.grp = test.grp AND known.k = 7 - (test.h - 1) % 7)"""
 
 
-def pairs(spark, sf):
-    """Actual and predicted test values of two models over daily and hourly series, and the split rows."""
+def pairs(spark, sf, seconds: dict[str, float] | None = None):
+    """Actual and predicted test values of two models over daily and hourly series, and the split rows.
+
+    With ``seconds`` each model's predictions are written by themselves, and the time that takes is noted there.
+    """
     split = materialize(split_with_steps(panel(spark, sf).unionByName(hourly(spark, sf)), PANEL))
     known, test = split.filter("split <> 'test'"), split.filter("split = 'test'")
     grid = test.select("grp", "h", "ts")
-    preds = fc_naive(known, PANEL, grid=grid).withColumn("model", F.lit("naive")).unionByName(
-        fc_seasonal_naive(known, PANEL, grid=grid).withColumn("model", F.lit("seasonal_naive"))
-    )
+    preds = None
+    for name, make in (("naive", fc_naive), ("seasonal_naive", fc_seasonal_naive)):
+        start = perf_counter()
+        part = make(known, PANEL, grid=grid).withColumn("model", F.lit(name))
+        if seconds is not None:
+            part = materialize(part)
+            seconds[name] = perf_counter() - start
+        preds = part if preds is None else preds.unionByName(part)
     actual = test.select("grp", "ts", F.col("y").alias("actual"))
     out = metrics.align_actual_pred(actual, preds.select("model", "grp", "ts", F.col("yhat").alias("pred")), ["grp", "ts"])
     return out.select("model", "grp", "ts", "actual", "pred"), split
@@ -84,43 +94,48 @@ def _(spark, sf):
 
 
 _SCORES_SQL = _PAIRS_SQL + _SCALE_SQL + f""", sc AS (SELECT grp, model, count(*) AS n, {', '.join(f'{sql} AS {name}' for name, (sql, _) in _EXPR.items())},
-  median(abs(actual - pred)) AS medae, avg(abs(actual - pred)) / any_value(ne) AS mase, CAST(sum(n_char) AS DOUBLE) AS training_time
-  FROM (SELECT *, length(model) AS n_char FROM p) JOIN scale USING (grp) GROUP BY ALL)"""
+  median(abs(actual - pred)) AS medae, avg(abs(actual - pred)) / any_value(ne) AS mase FROM p JOIN scale USING (grp) GROUP BY ALL)"""
 _ROUNDED_SQL = "round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 4) AS mape, round(smape, 4) AS smape, round(r2, 6) AS r2, round(medae, 4) AS medae, round(mase, 6) AS mase"
 
 
 def scores(spark, sf):
-    """All metrics per series and model; the training time is made up from the row counts."""
-    both, split = pairs(spark, sf)
+    """All metrics per series and model, with the measured training time."""
+    seconds: dict[str, float] = {}
+    both, split = pairs(spark, sf, seconds)
     out = metrics.score(materialize(both), split.filter("split = 'train'"), PANEL, BY)
-    return out.withColumn("training_time", F.col("n") * F.length("model").cast("double"))
+    return out.withColumn("training_time", F.element_at(F.create_map(*[F.lit(x) for kv in seconds.items() for x in kv]), F.col("model")))
+
+
+def _timed(df, column="training_time"):
+    """Measured times differ from run to run; what can be compared is that there is one."""
+    return df.withColumn("timed", F.col(column) > 0).drop(column)
 
 
 def _round_scores(df):
     return rounded(rounded(rounded(df, 2, "mae", "rmse"), 4, "mape", "smape", "medae"), 6, "r2", "mase")
 
 
-@query("rank_models", f"{_SCORES_SQL} SELECT grp, model, n, {_ROUNDED_SQL}, training_time, row_number() OVER (PARTITION BY grp ORDER BY r2 DESC, model) AS rank FROM sc")
+@query("rank_models", f"{_SCORES_SQL} SELECT grp, model, n, {_ROUNDED_SQL}, true AS timed, row_number() OVER (PARTITION BY grp ORDER BY r2 DESC, model) AS rank FROM sc")
 def _(spark, sf):
     ranked = ranking.rank_models(scores(spark, sf), "r2", ["grp"])
-    return _round_scores(ranked).withColumn("rank", F.col("rank").cast("long"))
+    return _timed(_round_scores(ranked).withColumn("rank", F.col("rank").cast("long")))
 
 
 _GROUPED_SQL = _SCORES_SQL + """, gr AS (SELECT model, count(*) AS n_series, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, avg(smape) AS smape, avg(r2) AS r2, avg(medae) AS medae,
-  avg(mase) AS mase, sum(training_time) AS training_time FROM sc GROUP BY model), rk AS (SELECT *, row_number() OVER (ORDER BY rmse, model) AS rank FROM gr)"""
+  avg(mase) AS mase FROM sc GROUP BY model), rk AS (SELECT *, row_number() OVER (ORDER BY rmse, model) AS rank FROM gr)"""
 
 
-@query("rank_grouped", f"{_GROUPED_SQL} SELECT model, n_series, {_ROUNDED_SQL}, training_time, rank FROM rk")
+@query("rank_grouped", f"{_GROUPED_SQL} SELECT model, n_series, {_ROUNDED_SQL}, true AS timed, rank FROM rk")
 def _(spark, sf):
-    return _round_scores(ranking.rank_grouped(scores(spark, sf))).withColumn("rank", F.col("rank").cast("long"))
+    return _timed(_round_scores(ranking.rank_grouped(scores(spark, sf))).withColumn("rank", F.col("rank").cast("long")))
 
 
 @query("eval_summary", f"""{_GROUPED_SQL} SELECT CAST(sum(n_series) AS BIGINT) AS total_models, max(CASE WHEN rank = 1 THEN model END) AS best_model, round(max(CASE WHEN rank = 1 THEN rmse END), 2) AS best_value,
-  {', '.join(f"round(coalesce(avg(nullif({m}, 0)), 0), {2 if m in ('mae', 'rmse') else 6 if m == 'medae' else 4}) AS avg_{m}" for m in metrics.METRICS)}, sum(training_time) AS total_training_time FROM rk""")
+  {', '.join(f"round(coalesce(avg(nullif({m}, 0)), 0), {2 if m in ('mae', 'rmse') else 6 if m == 'medae' else 4}) AS avg_{m}" for m in metrics.METRICS)}, true AS timed FROM rk""")
 def _(spark, sf):
     out = ranking.eval_summary(ranking.rank_grouped(scores(spark, sf)))
     out = rounded(rounded(out, 2, "best_value", "avg_mae", "avg_rmse"), 6, "avg_medae")
-    return rounded(out, 4, "avg_mape", "avg_smape", "avg_r2", "avg_mase")
+    return _timed(rounded(out, 4, "avg_mape", "avg_smape", "avg_r2", "avg_mase"), "total_training_time")
 
 
 @query("eval_advice", f"""{_GROUPED_SQL}, t AS (SELECT max(CASE WHEN rank = 1 THEN model END) AS best_model, max(CASE WHEN rank = 1 THEN rmse END) AS m1, max(CASE WHEN rank = 2 THEN rmse END) AS m2,
