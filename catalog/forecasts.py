@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
 
-from catalog.base import PANEL, PANEL_SQL, hourly, panel, query, rounded, revenue
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.base import HOURLY_SQL, PANEL, PANEL_SQL, hourly, panel, query, rounded, revenue
 from seriesloom.forecast import arima, baseline, decomposable, tree
+from seriesloom.forecast.store import ModelStore
 from seriesloom.functions.features import cyclic_features, tree_features
 from seriesloom.operators import seasonal_test
 from seriesloom.operators.exog import carry_exog
 from seriesloom.operators.series import row_positions
 from seriesloom.operators.splits import split_ratio
 from seriesloom.plans.backtest import ALL_MODELS, backtest_all, backtest_baselines
-from seriesloom.session import materialize
+from seriesloom.plans.best import best_forecasts
+from seriesloom.session import ensure_checkpoint_dir, materialize
 
 H = 30
 
@@ -251,11 +256,58 @@ def _(spark, sf):
 
 @query("best_of_all", f"""
 WITH {PANEL_SQL}, ends AS (SELECT grp, max(ts) AS b FROM pan GROUP BY grp)
-SELECT grp, CAST(h AS INTEGER) AS h, b + to_days(CAST(h AS INTEGER)) AS ts, true AS is_best FROM ends, (SELECT unnest(generate_series(1, 30)) AS h)""")
+SELECT grp, CAST(h AS INTEGER) AS h, b + to_days(CAST(h AS INTEGER)) AS ts, true AS is_best, true AS has_value FROM ends, (SELECT unnest(generate_series(1, 30)) AS h)""")
+def _(spark, sf):
+    """Forecasts of each series by the best of all eight models, and whether each comes from the model with the least error of the back-test."""
+    df = panel(spark, sf)
+    ranked = materialize(backtest_all(df, PANEL))
+    best = best_forecasts(df, PANEL, H, ranked=ranked)
+    least = ranked.groupBy(F.col("grp").alias("g")).agg(F.min_by("model", F.struct("rmse", "model")).alias("m"))
+    out = best.join(least, F.col("grp") == F.col("g"))
+    return out.select("grp", "h", "ts", (F.col("model") == F.col("m")).alias("is_best"), F.col("yhat").isNotNull().alias("has_value"))
+
+
+@query("fc_tree_regressor")
+def _(spark, sf):
+    """A tree model with the revenue of all orders as a regressor, which the forecast carries over from the history."""
+    df = panel(spark, sf).join(revenue(spark, sf).withColumnRenamed("y", "total"), "ts")
+    rows = materialize(row_positions(df, PANEL))
+    table = materialize(split_ratio(tree_features(rows, PANEL), PANEL))
+    model = tree.train_gbt(table, PANEL, "xgboost", made={"exog": ["total"]})
+    return baseline.fc_intervals(tree.fc_tree_recursive(model, df, PANEL, H), df, PANEL)
+
+
+@query("stored_models", f"""
+WITH {PANEL_SQL}, {HOURLY_SQL}, g AS (SELECT DISTINCT grp, 'decomposable' AS model, 30 AS n FROM pan UNION ALL SELECT DISTINCT grp, 'random_forest', 30 FROM pan UNION ALL SELECT DISTINCT grp, 'arima', 48 FROM hr)
+SELECT grp, model, CAST(n AS BIGINT) AS n, 2 AS version, true AS same FROM g""")
 def _(spark, sf):
-    """Forecasts of the better baseline of each series by the back-test, and whether each comes from the model ranked first."""
-    ranked = backtest_all(panel(spark, sf), PANEL, models=("naive", "seasonal_naive"))
-    best = baseline.fc_model_select(forecasts(spark, sf), "best", ranked, ["grp"])
-    first = ranked.filter("rank = 1").select(F.col("grp").alias("g"), F.col("model").alias("m"))
-    out = best.join(first, F.col("grp") == F.col("g"))
-    return out.select("grp", "h", "ts", (F.col("model") == F.col("m")).alias("is_best"))
+    """Three kinds of models stored twice, loaded by another session, and whether their forecasts equal those before."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
+    store, other = ModelStore(spark, path), ModelStore(spark.newSession(), path)
+    df, hours = panel(spark, sf), hourly(spark, sf)
+    cfg = arima.ArimaConfig(auto=False)
+    fits = {"decomposable": decomposable.fit_decomposable(df, PANEL), "arima": arima.fit_arima(hours, PANEL, "H", cfg)}
+    forest = tree.train_random_forest(tree_table(spark, sf), PANEL)
+    for _ in range(2):
+        for name, fit in fits.items():
+            store.save_table(name, fit)
+        store.save_tree("random_forest", forest)
+
+    def forecasts_of(s, made, history):
+        return {
+            "decomposable": decomposable.predict_decomposable(made["decomposable"], baseline.future_dates(history, PANEL, H), PANEL),
+            "arima": arima.predict_arima(made["arima"], PANEL, 48, "H", cfg),
+            "random_forest": tree.fc_tree_recursive(made["random_forest"], history, PANEL, H),
+        }
+
+    loaded = {n: other.load(n) for n in (*fits, "random_forest")}
+    before = forecasts_of(spark, {**fits, "random_forest": forest}, df)
+    after = forecasts_of(other.spark, {n: x.model for n, x in loaded.items()}, panel(other.spark, sf))
+    parts = []
+    for n in loaded:
+        after[n].select("grp", "ts", F.col("yhat").alias("b")).write.parquet(f"{path}/after-{n}")
+        a, b = before[n].select("grp", "ts", F.col("yhat").alias("a")), spark.read.parquet(f"{path}/after-{n}")
+        same = F.bool_and(F.col("a").eqNullSafe(F.col("b")))
+        parts.append(a.join(b, ["grp", "ts"], "full").groupBy("grp").agg(F.count("*").alias("n"), same.alias("same")).select("grp", F.lit(n).alias("model"), "n", F.lit(loaded[n].version).cast("int").alias("version"), "same"))
+    return reduce(DataFrame.unionByName, parts)

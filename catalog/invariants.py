@@ -48,6 +48,11 @@ def _(spark, sf):
     return _in_band(QUERIES["fc_tree_recursive"](spark, sf), "lo95", "hi95")
 
 
+@query("fc_tree_regressor_grid", _GRID_SQL)
+def _(spark, sf):
+    return _in_band(QUERIES["fc_tree_regressor"](spark, sf), "lo95", "hi95")
+
+
 @query("fc_arima_manual_grid", f"""WITH {HOURLY_SQL}, ends AS (SELECT grp, max(ts) AS b FROM hr GROUP BY grp)
 SELECT grp, CAST(h AS INTEGER) AS h, b + to_hours(CAST(h AS INTEGER)) AS ts, true AS in_band FROM ends, (SELECT unnest(generate_series(1, 48)) AS h)""")
 def _(spark, sf):

@@ -164,17 +164,20 @@ def regression_coefficients(steps: DataFrame, spec: SeriesSpec, regressors: Sequ
 
 def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", cfg: ArimaConfig = ArimaConfig(),
              regressors: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
-    """Forecast rows (h, ts, yhat, lo, hi, level) with the chosen orders as ``model_order``.
+    """Fit on ``df`` and forecast (see ``fit_arima`` and ``predict_arima``)."""
+    if list(regressors) and future is None:
+        raise ValueError("regressors need their future values")
+    return predict_arima(fit_arima(df, spec, freq, cfg, regressors), spec, horizon, freq, cfg, regressors, future)
+
+
+def fit_arima(df: DataFrame, spec: SeriesSpec, freq: str = "D", cfg: ArimaConfig = ArimaConfig(), regressors: Sequence[str] = ()) -> DataFrame:
+    """One row per series with all that a forecast needs: orders, coefficients, and the few last values. It may be stored.
 
     ``auto`` takes the seasonal difference order from the stability of the seasonal pattern, the difference order from
-    the KPSS test and the other orders by AIC. With ``regressors`` (columns of ``df``), ``future`` has their values for
-    the forecast times of each series, and the coefficients come back as ``coefficients``; scaling a regressor changes
-    no forecast. Rows without a value of the target or of a regressor are left out; where a future value is missing the
-    forecast is NULL. Series too short for the regressions keep their last value, without a band.
+    the KPSS test and the other orders by AIC. ``regressors`` are columns of ``df``; scaling one changes no forecast.
+    Rows without a value of the target or of a regressor are left out.
     """
     regressors = list(regressors)
-    if regressors and future is None:
-        raise ValueError("regressors need their future values")
     m = cfg.m(freq)
     seasonal = cfg.seasonal and m > 1 and (cfg.max_sd if cfg.auto else cfg.sd) > 0
     cands = _candidates(cfg)
@@ -257,13 +260,26 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
 
     chosen = second.select(*spec.by, choose("gram", "n").alias("_f"))
 
-    # 4. Recursion on the last values of each series.
+    # 4. The last values of each series, from which a forecast goes on.
     tail_rows = max(deepest, 4 + m * seasonal)
     tail = shocks.filter(F.col(IDX) >= F.col(LEN) - tail_rows).groupBy(*spec.by).agg(
         F.sort_array(F.collect_list(F.struct(IDX, F.col(spec.y).alias("y"), F.col("_w").alias("w"), F.col("_e").alias("e")))).alias("_t"),
         F.max("d").alias("d"), F.max("sd").alias("sd"), F.max(spec.ts).alias("_last"),
-    )
+    ).filter(F.col("_last").isNotNull())
     state = series_join(tail, chosen, spec.by)
+    return materialize(series_join(state, beta, spec.by) if levels else state.withColumn("_beta", F.array(F.lit(0.0))))
+
+
+def predict_arima(state: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D", cfg: ArimaConfig = ArimaConfig(),
+                  regressors: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
+    """Forecast rows (h, ts, yhat, lo, hi, level) with the chosen orders as ``model_order``, from a fitted state.
+
+    With regressors ``future`` has their values for the forecast times of each series, and ``coefficients`` comes back; where
+    a future value is missing the forecast is NULL. Series too short for the regressions keep their last value, without a band.
+    """
+    regressors = list(regressors)
+    levels = [f"_l{k}" for k in range(len(regressors))]
+    m = cfg.m(freq)
     z = NormalDist().inv_cdf(0.5 + cfg.level / 2)
 
     @F.pandas_udf("array<struct<h int, yhat double, lo double, hi double>>")
@@ -276,16 +292,16 @@ def fc_arima(df: DataFrame, spec: SeriesSpec, horizon: int = 30, freq: str = "D"
         return pd.Series(out)
 
     column = {c: field_of("_t", c) for c in ("y", "w", "e")}
-    paths = state.select(*spec.by, "_last", "d", "sd", "_f", F.explode(project(column["y"], column["w"], column["e"], F.col("d"), F.col("sd"), F.col("_f"))).alias("_p"))
+    paths = state.select(*spec.by, "_beta", "_last", "d", "sd", "_f", F.explode(project(column["y"], column["w"], column["e"], F.col("d"), F.col("sd"), F.col("_f"))).alias("_p"))
     order = F.when(F.col("_f.p").isNotNull(), F.format_string("(%d,%d,%d)(%d,%d,%d,%d)", F.col("_f.p"), F.col("d"), F.col("_f.q"),
                                                               F.col("_f.sp"), F.col("sd"), F.col("_f.sq"), F.lit(m)))
-    out = paths.select(*spec.by, "_p.h", add_steps(F.col("_last"), F.col("_p.h"), freq).alias(spec.ts), "_p.yhat", "_p.lo", "_p.hi",
+    out = paths.select(*spec.by, "_beta", "_p.h", add_steps(F.col("_last"), F.col("_p.h"), freq).alias(spec.ts), "_p.yhat", "_p.lo", "_p.hi",
                        F.lit(cfg.level).alias("level"), order.alias("model_order"))
     if not levels:
-        return out
+        return out.drop("_beta")
     ahead = future.select(*spec.by, spec.ts, *[number_or_null(c).cast("double").alias(n) for c, n in zip(regressors, levels)])
     effect = sum((F.element_at("_beta", k + 2) * F.col(n) for k, n in enumerate(levels)), F.lit(0.0))
-    out = series_join(side_join(out, ahead, [*spec.by, spec.ts]), beta, spec.by)
+    out = side_join(out, ahead, [*spec.by, spec.ts])
     return out.withColumns({c: F.col(c) + effect for c in ("yhat", "lo", "hi")}).withColumn("coefficients", F.slice("_beta", 2, len(levels))).drop("_beta", *levels)
 
 

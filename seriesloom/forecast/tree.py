@@ -16,9 +16,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from seriesloom.forecast.baseline import last_rows
+from seriesloom.forecast.baseline import future_dates, last_rows
 from seriesloom.functions.features import ewm_reach, target_delta, tree_date_features
 from seriesloom.operators.clean import add_steps
+from seriesloom.operators.exog import carry_exog
 from seriesloom.operators.index import IDX, LEN
 from seriesloom.operators.joins import attach, series_join
 from seriesloom.operators.profile import present
@@ -166,8 +167,8 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
 
     The state is one row per series with the few last values as an array, so a step is a
     projection without a shuffle. The plan is cut every few steps. ``exog`` holds the
-    regressors of the model on the future grid (series, h, columns). Series too short for
-    the widest window have no values, and say so in ``reason``.
+    regressors of the model on the future grid (series, h, columns); without it they are
+    carried over from the history (``carry_exog``). Series too short for the widest window have no values, and say so in ``reason``.
     """
     deepest = max(*model.lags, *model.windows, 1)
     reach = max(deepest, ewm_reach(model.span) if model.span else 1)
@@ -183,6 +184,8 @@ def fc_tree_recursive(model: TreeModel, history: DataFrame, spec: SeriesSpec, ho
     if model.levels is not None:
         state = series_join(state, model.levels, spec.by)
     if model.exog:
+        if exog is None:
+            exog = carry_exog(history, future_dates(history, spec, horizon, freq), spec, model.exog)
         steps = exog.groupBy(*spec.by).agg(F.sort_array(F.collect_list(F.struct("h", *model.exog))).alias("_exog"))
         state = series_join(state, steps, spec.by)
     state = state.withColumn("_path", F.array().cast("array<struct<h:int,ts:timestamp_ntz,yhat:double>>"))
