@@ -155,9 +155,9 @@ def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = object(), None
+        at, state, kind = object(), None, None
         for batch in batches:
-            rows = []
+            rows, kind = [], batch.column(0).type
             for i, text, loss, repeated in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or i != at:
                     if state is not None:
@@ -172,12 +172,10 @@ def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
                     state[3].update(body.encode())
                 state[4] += len(text)
             if rows:
-                yield pack(rows, batch.column(0).type)
+                yield pack(rows, kind)
         if state is not None:
             yield pack([(at, state)], kind)
 
-    kind = pa.int64()
-
     def pack(rows, kind):
         return pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in rows], kind)] + [pa.array([x[k].hexdigest() if k in (1, 3) else x[k] for _, x in rows], pa.string() if k in (1, 3) else pa.int64()) for k in range(5)], names=names

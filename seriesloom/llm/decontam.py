@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
-from typing import Iterator
+from typing import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -115,47 +114,49 @@ class Items:
 RESULT = [T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("distances", T.ArrayType(T.LongType()))]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
-    """One row per document that holds a test item: the id, item_ids in ascending order and their distances.
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.1, block_chars: int = 4_000_000, keep: Sequence[str] | None = None) -> DataFrame:
+    """Every row with the columns ``keep`` (by default all) and item_ids, in ascending order, and distances of the test items that its text holds; both NULL where there are none.
 
     An item of n characters (lower-cased, white space as single blanks) matches where a substring of the document lies within floor(``rate`` * n)
-    edits of it. Items are looked for in blocks of about ``block_chars`` characters, each broadcast and held against all documents, so
-    memory doesn't grow with the benchmark. NULL and blank items match nothing, NULL texts hold nothing; rows with one id give a row each; items with one id
-    count as one, with the least distance. Empty tables give an empty result.
+    edits of it. Items are looked for in blocks of about ``block_chars`` characters, each broadcast and held against all documents in one pass that adds to what earlier
+    passes found, so memory doesn't grow with the benchmark, nothing is joined and a row needs no id. NULL and blank items match nothing, NULL texts hold nothing; items with one id
+    count as one, with the least distance. Columns named like the result give way to it. An empty table gives an empty one.
     """
     short_batches(docs)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_chars))
-    docs = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row") if blocks > 1 else F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
-    parts = [_scan(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()], id_col, rate) for k in range(blocks)]
-    if blocks == 1:
-        return parts[0].drop("row")
-    both = reduce(DataFrame.union, parts).select(id_col, "row", F.explode(F.arrays_zip("item_ids", "distances")).alias("m"))
-    both = both.groupBy(id_col, "row").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return both.select(id_col, F.col("m.item_ids").alias("item_ids"), F.col("m.distances").alias("distances"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("item_ids", "distances")]
+    out = docs.select(F.col(text_col), *[F.col(c) for c in keep]).toDF("t", *[f"c{k}" for k in range(len(keep))])
+    for k in range(blocks):
+        out = _scan(out, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()], rate, k > 0, k + 1 == blocks)
+    return out.toDF(*keep, "item_ids", "distances")
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], id_col: str, rate: float) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The id, item_ids and distances of every row that holds a test item (see ``mark_contaminated``); rows with one id give a row each."""
+    return mark_contaminated(docs, benchmark, text_col, keep=[id_col], **options).where("item_ids IS NOT NULL")
+
+
+def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, later: bool, last: bool) -> DataFrame:
+    """Adds what the items of a block hit. The text comes first, and goes with the last block; a later block gets the hits of earlier ones in the last two columns."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = T.StructType([docs.schema[id_col], docs.schema["row"], *RESULT])
+    fields = docs.schema.fields[: len(docs.columns) - 2 * later]
+    schema = T.StructType([*fields[last:], *RESULT])
+    kinds = [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Items(shared.value, rate)
-        if ready.automaton is None:
-            return
         for batch in batches:
-            rows, found = [], []
+            found: list[tuple] = []
             for lo in range(0, batch.num_rows, 500):
-                for k, text in enumerate(batch.column(2).slice(lo, 500).to_pylist(), lo):
-                    hits = ready.find(normal(text)) if text else None
-                    if hits:
-                        rows.append(k)
-                        found.append(sorted(hits.items()))
-            if rows:
-                kept = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(1), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int64()))], names=schema.names
-                )
+                for text in batch.column(0).slice(lo, 500).to_pylist():
+                    found.append(tuple(ready.find(normal(text)).items()) if text and ready.automaton is not None else ())
+            if later:
+                before = zip(*(batch.column(len(fields) + k).to_pylist() for k in range(2)))
+                found = [(*zip(i or (), d or ()), *f) for (i, d), f in zip(before, found)]
+            found = [sorted(f) for f in found]
+            hits = [pa.array([[x[k] for x in f] or None for f in found], kinds[k]) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[last : len(fields)], *hits], names=schema.names)
 
     return docs.mapInArrow(run, schema)

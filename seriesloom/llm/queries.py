@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seriesloom.llm import ranked
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
 from seriesloom.llm.chat import chat_windows, read_back
-from seriesloom.llm.decontam import contaminated
+from seriesloom.llm.decontam import mark_contaminated
 from seriesloom.llm.imatch import compare_edited, lexicon
 from seriesloom.llm.langid import fit_languages, identify_languages
 from seriesloom.llm.linedup import dedupe_lines
@@ -152,10 +152,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_decontamination")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, with the test items that they hold."""
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
-    hits = contaminated(docs, _table(spark, sf, "benchmark")).select("doc_id", "item_ids", "distances").dropDuplicates(["doc_id"])
+    marked = mark_contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), keep=["doc_id"])
     n = F.size(F.coalesce("item_ids", F.array().cast("array<long>")))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_ids", "distances")
+    return marked.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), "item_ids", "distances")
 
 
 @query("op10_personal_data")

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import queries as Q, ranked, vptree
 from seriesloom.llm.ranked import Cell, RankSettings
@@ -261,3 +262,38 @@ def test_shards_refuse_null_ids(spark, tmp_path):
     with pytest.raises(ValueError, match="doc_id"):
         write_shards(table, str(tmp_path / "shards"), Q.TOKENIZER)
     assert not (tmp_path / "shards").exists()
+
+
+# ---- awkward ids -------------------------------------------------------------------------------------------------------
+
+
+def test_contamination_is_told_row_by_row(spark):
+    import corpus_pipeline as P
+    from seriesloom.llm.decontam import mark_contaminated
+
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(2).collect()]
+    rows = [(7, items[0]), (7, items[1]), (7, "a clean text of its own"), (None, "before " + items[0] + " after"), (8, None), (9, "clean too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for block in (4_000_000, 100):
+        got = mark_contaminated(docs.withColumn("item_ids", F.lit("old")), bench, block_chars=block)
+        assert got.columns == [*docs.columns, "item_ids", "distances"]
+        assert {r["text"]: r["item_ids"] for r in got.collect()} == {items[0]: [0], items[1]: [1], rows[2][1]: None, rows[3][1]: [0], None: None, "clean too": None}
+    assert {r["text"] for r in P.decontaminate(spark, docs, SF).collect()} == {rows[2][1], None, "clean too"}
+
+
+def test_near_dedup_keeps_one_row_of_an_id(spark):
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, "another one"), (None, "no id"), (3, "another one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in P.near_dedup(spark, docs, SF).collect()) == [("1", text), ("3", "another one"), ("None", "no id")]
+
+
+def test_conversations_with_string_ids(spark):
+    from seriesloom.llm.chat import chat_windows, read_back
+
+    turns = spark.createDataFrame([(c, t, r, f"{c} says {t}") for c in ("x", "y", None) for t, r in enumerate(("user", "assistant"))], "conv_id string, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in read_back(chat_windows(turns)).collect()}
+    assert got == {"x": (2, 8), "y": (2, 8), None: (2, 11)}
