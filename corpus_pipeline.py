@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
-from seriesloom.llm.decontam import contaminated
+from seriesloom.llm.decontam import mark_contaminated
 from seriesloom.llm.langid import UNDETERMINED, fit_languages, identify_languages
 from seriesloom.llm.linedup import dedupe_lines
 from seriesloom.llm.minhash import MinHashSettings, near_duplicates
-from seriesloom.session import ensure_checkpoint_dir
+from seriesloom.operators.joins import keyed_join
+from seriesloom.session import ensure_checkpoint_dir, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text of which a smaller share of n-grams was seen in training is in none of the learned languages, or junk. Passages in two of them keep the share high.
@@ -42,15 +43,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (``NEAR``: 80 percent of runs of five words) stays: the one with the smallest id."""
+    """One document of each group of near-duplicates (``NEAR``: 80 percent of runs of five words) stays: the one with the smallest id, in one row. Rows without an id can't be grouped and stay."""
     gone = near_duplicates(docs, settings=NEAR).where(~F.col("kept")).select("doc_id").distinct()
-    return _like_documents(docs.join(gone, "doc_id", "left_anti"))
+    left = _like_documents(docs.join(gone, "doc_id", "left_anti"))
+    # Rows of one id are one document, of which one row stays; only the rows of such ids are looked at again.
+    again = materialize(left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1"))
+    marked = keyed_join(left, again, ["doc_id"])
+    return marked.where("_rows IS NULL").drop("_rows").unionByName(marked.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item of the benchmark go."""
-    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return _like_documents(docs.join(hits, "doc_id", "left_anti"))
+    """Documents that hold a test item of the benchmark go, row by row: a repeated or NULL id shields none and accuses none."""
+    marked = mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    return _like_documents(marked.where("item_ids IS NULL"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
