@@ -230,10 +230,12 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = short_batches(docs.drop("n_lines", "n_removed"))
     gone = repeated_lines(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), settings)
-    gone = gone.distinct().groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list("line").alias("_gone"))
+    gone = gone.distinct().groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
     joined = keyed_join(rows.withColumn("_gone_id", F.col(id_col)), gone, ["_gone_id"]).drop("_gone_id")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains("_gone", k.cast("long"))), "\n")
+    # Numbers of the lines that stay, by a hash set; the outer transform makes the lines once for all of them.
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stays, lambda k: F.get(p, k)), "\n"))[0]
     return joined.select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in rows.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
