@@ -7,7 +7,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seriesloom.llm.graph import components
 from seriesloom.llm.words import mix, shingle_sets, short_batches, text_slices
@@ -125,9 +125,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass over the texts makes set key, size and band keys. Documents with one and the same set become one class.
     2. In each bucket every class is paired with the smallest one (a pre-aggregated minimum, no pairs within the bucket), pairs are
        verified on the full sets, and components are formed.
-    3. Buckets whose members still lie in several components are looked at again: members outside the component of the smallest one are
-       compared with all others of other components. A large bucket is dealt out in blocks, a block against a block per task, which compares signatures
-       and then full sets, skips what it has linked already and returns no more links than it has members.
+    3. Large buckets whose members still lie in several components are paired with their hub, the member that lies in the largest buckets, for
+       as long as that links many. An exact prefix filter on the sets then tells which members can have a link to another component at all. Those outside
+       the hub's component are compared with all others, in blocks, a block against a block per task, which compares signatures and
+       then full sets, skips what it has linked already and returns no more links than it has members. Small buckets are compared by a join.
 
     NULL or blank texts have the size 0, are linked with nothing and are kept. Rows with one id are one document, linked by
     what any of them holds; each gives a row. A NULL id gets the component NULL and is kept. An empty table gives an empty one.
@@ -148,28 +149,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("size"), F.sum("n").alias("volume")).where("size > 1").select("key", F.col("low.rep").alias("low"), F.col("low.n").alias("low_n"), "size", "volume")
     )
     held = materialize(placed.join(buckets, "key"))
-    fits = f"100 * least(%s) >= {s.percent} * greatest(%s)"
-    star = held.where("rep <> low").where(fits % ("n, low_n", "n, low_n")).select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    star = held.where("rep <> low").where(_fits(s, "n", "low_n")).select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     links = materialize(_verified(star, docs, s).union(copies))
     first = components(links)
 
     # What the smallest member of a bucket has not brought together.
-    named = held.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("rep", "component")).alias("at"))
-    mixed = mixed.where("c0 <> c1").select("key", F.col("at.component").alias("low_component"))
-    open_ = materialize(named.where("size > 2").join(mixed, "key"))
-    few = open_.where(F.col("size") <= s.small).select("key", "rep", "n", "component", "low")
+    large, wide, last = _hub_rounds(held.where(F.col("size") > s.small), links, first, docs, s)
+    few = _still_open(held.where((F.col("size") > 2) & (F.col("size") <= s.small)), last).select("key", "rep", "n", "component", "low")
+    few = materialize(few)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, F.expr("x.key = y.key AND x.rep < y.rep AND x.component <> y.component AND x.rep <> x.low")).where(fits % ("x.n, y.n", "x.n, y.n"))
+    pairs = x.join(y, F.expr("x.key = y.key AND x.rep < y.rep AND x.component <> y.component AND x.rep <> x.low")).where(_fits(s, "x.n", "y.n"))
     pairs = pairs.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
-    more = materialize(_verified(pairs, docs, s).union(_blockwise(open_.where(F.col("size") > s.small), members, docs, s)))
-    last = first if more.isEmpty() else components(links.union(more))
+    more = _verified(pairs, docs, s)
+    if not large.isEmpty():
+        more = more.union(_blockwise(large, members, docs, s))
+    more = materialize(more)
+    last = last if more.isEmpty() else components(wide.union(more))
     out = seen.select("id", "n").join(last.withColumnRenamed("node", "id"), "id", "left")
     # A document without a link is its own component.
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _fits(s: MinHashSettings, n: str, m: str) -> str:
+    return f"100 * least({n}, {m}) >= {s.percent} * greatest({n}, {m})"
+
+
+def _still_open(held: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that span two components, each with its own."""
+    named = held.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    return named.join(mixed, "key")
+
+
+def _hub() -> Column:
+    """The member of a bucket that lies in the largest buckets: near copies of one text agree with it most often, so it links more of them than any other."""
+    return F.max_by(F.struct("rep", "n", "component"), F.struct("weight", "rep"))
+
+
+def _hub_rounds(held: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, s: MinHashSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of large buckets that still span components, all links, all components.
+
+    Each round pairs the members of a bucket with its hub, from the second round on with the hub of what lies outside the first one's component. Rounds go
+    on while they link an eighth of the members outside; this decides on the way only, as every pair that is left is looked at afterwards.
+    """
+    large = materialize(_still_open(held, found))
+    if large.isEmpty():
+        return large, links, found
+    large = materialize(large.join(large.groupBy("rep").agg(F.sum("size").alias("weight")), "rep"))
+    hubs = large.groupBy("key").agg(_hub().alias("hub"))
+    while True:
+        met = large.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+        pairs = met.where(_fits(s, "n", "hub.n")).select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct()
+        new = materialize(_verified(pairs, docs, s))
+        linked, outside = new.count(), met.select("rep").distinct().count()
+        if not linked:
+            return large, links, found
+        links = materialize(links.union(new))
+        found = components(links)
+        large = materialize(_still_open(large.drop("component"), found))
+        if 8 * linked < outside:
+            return large, links, found
+        first = large.groupBy("key").agg(_hub().alias("hub")).select("key", F.col("hub.component").alias("inside"))
+        hubs = large.join(first, "key").where("component <> inside").groupBy("key").agg(_hub().alias("hub"))
+
+
+_SLOTS = 20
+
+
+def _plausible(sets: DataFrame, s: MinHashSettings) -> DataFrame:
+    """(rep, most): members that can have a link to another component, and at least as many shingles as they can share with one; ``sets`` holds rep, component, n, set.
+
+    Two sets that are similar enough share a shingle among the first n - least overlap + 1 of each, in any one order of all shingles. They are
+    ordered by how often shingles of the same slot (2**20 of them, 4 MB to broadcast whatever the input) occur, rarest first; so texts with many edits of their own have a
+    prefix that nobody shares. Of those that are left, the whole sets are looked at. No pairs are formed: a shingle counts if two components hold it.
+    """
+    spark, slots = sets.sparkSession, 1 << _SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, np.frombuffer(x, np.uint64) >> np.uint64(64 - _SLOTS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(slots, np.uint32)
+    often[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**32 - 1)
+    shared = spark.sparkContext.broadcast(often)
+    schema = T.StructType([sets.schema["rep"], sets.schema["component"], T.StructField("token", T.LongType())])
+
+    def across(sets: DataFrame, whole: bool) -> DataFrame:
+        """Rows (rep, token) of shingles, in the prefix or anywhere, that two components hold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            often = shared.value
+            for batch in batches:
+                tokens = []
+                for x in batch.column(2).to_pylist():
+                    x = np.frombuffer(x, np.uint64)
+                    times = often[x >> np.uint64(64 - _SLOTS)]
+                    if not whole:
+                        first = np.lexsort((x, times))[: x.size - (s.percent * x.size + 99) // 100 + 1]
+                        x, times = x[first], times[first]
+                    tokens.append(x[times > 1].view(np.int64))
+                who = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in tokens]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))], names=schema.names)
+
+        held = materialize(sets.select("rep", "component", "set").mapInArrow(run, schema))
+        both = held.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+        return held.join(both, "token", "left_semi").select("rep", "token")
+
+    can = materialize(across(sets, False).select("rep").distinct())
+    return across(sets.join(can, "rep", "left_semi"), True).groupBy("rep").agg(F.count("*").alias("most"))
+
+
 def _sets(docs: DataFrame, s: MinHashSettings) -> DataFrame:
     """(rep, n, set): the sorted shingle hashes of each document, 8 bytes each."""
     schema = T.StructType([T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType())])
@@ -183,20 +278,38 @@ def _sets(docs: DataFrame, s: MinHashSettings) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _blockwise(open_: DataFrame, members: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
-    """Links in large buckets: members outside the smallest member's component against all.
-
-    A pair that shares several buckets is looked at in the first of them.
+def _blocks(large: DataFrame, members: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
+    """Members of large buckets as far as ``_plausible`` leaves them, dealt into blocks (key, i, j): those outside the hub's component to ask, all to be
+    compared with. Each role has as many blocks as its own rows fill, so that a row is copied only to blocks that have someone to ask.
     """
-    open_ = open_.select("key", "rep", "n", "component", "low_component", F.ceil(F.greatest(F.col("size") / s.block, F.col("volume") * 8 / s.block_bytes)).cast("int").alias("parts"))
-    wanted = open_.select(F.col("rep").alias("id")).distinct()
-    sets = _sets(docs.join(wanted, "id", "left_semi"), s).dropDuplicates(["rep", "n"])
-    detail = members.select("rep", "n", "bands", "sketch").join(sets, ["rep", "n"])
-    rows = open_.withColumn("other", F.col("component") != F.col("low_component")).join(detail, ["rep", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    who = large.select("rep", "component").distinct()
+    sets = materialize(_sets(docs.join(who.select(F.col("rep").alias("id")), "id", "left_semi"), s))
+    can = materialize(_plausible(sets.join(who, "rep"), s))
+    left = materialize(large.join(can, "rep").select("key", "rep", "n", "component", "weight", "most"))
+    # A set that shares at most so many shingles can be similar to sets up to a certain size only; one of that size must lie in the bucket.
+    sizes = left.groupBy(F.col("key").alias("k"), F.col("n").alias("m")).agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    reach = f"key = k AND (component <> c0 OR component <> c1) AND {s.percent} * (n + m) <= {100 + s.percent} * most AND {_fits(s, 'n', 'm')}"
+    left = materialize(left.join(sizes, F.expr(reach), "left_semi").drop("most"))
+    inside = left.groupBy("key").agg(_hub().getField("component").alias("inside"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    left = left.join(inside.where("c0 <> c1").select("key", "inside"), "key").withColumn("other", F.col("component") != F.col("inside"))
+
+    def parts(which: Column) -> Column:
+        size, volume = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, F.col("n")).otherwise(0))
+        return F.ceil(F.greatest(size / s.block, volume * 8 / s.block_bytes)).cast("int")
+
+    left = materialize(left)
+    dealt = left.groupBy("key").agg(parts(F.col("other")).alias("rows"), parts(F.lit(True)).alias("cols"))
+    detail = members.select("rep", "n", "bands", "sketch").join(sets.dropDuplicates(["rep", "n"]), ["rep", "n"])
+    rows = left.join(dealt, "key").join(detail, ["rep", "n"])
+    place, every = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ("key", "rep", "n", "component", "bands", "sketch", "set")
-    asked = rows.where("other").select(*columns, F.lit(True).alias("asked"), F.col("part").alias("i"), F.explode(every).alias("j"))
-    held = rows.select(*columns, F.lit(False).alias("asked"), F.explode(every).alias("i"), F.col("part").alias("j"))
+    asked = rows.where("other").select(*columns, F.lit(True).alias("asked"), F.pmod(place, F.col("rows")).cast("int").alias("i"), every("cols").alias("j"))
+    held = rows.select(*columns, F.lit(False).alias("asked"), every("rows").alias("i"), F.pmod(place, F.col("cols")).cast("int").alias("j"))
+    return asked.union(held)
+
+
+def _blockwise(large: DataFrame, members: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
+    """Links in large buckets. A pair that shares several buckets is looked at in the first of them."""
     kind = members.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -228,4 +341,4 @@ def _blockwise(open_: DataFrame, members: DataFrame, docs: DataFrame, s: MinHash
         kind = table.schema.field("rep").type
         return pa.Table.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
-    return asked.union(held).groupBy("key", "i", "j").applyInArrow(compare, schema)
+    return _blocks(large, members, docs, s).groupBy("key", "i", "j").applyInArrow(compare, schema)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesloom.llm import queries as Q
+from seriesloom.llm import minhash, queries as Q
 from seriesloom.llm.bpe import bpe_decode, bpe_encode
 from seriesloom.llm.chat import CONTROL, WindowSettings, chat_windows, escape, read_back, unescape
 from seriesloom.llm.decontam import contaminated, least_distance, normal, pattern_masks
@@ -69,13 +69,13 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_near(texts):
+def brute_near(texts, percent=85):
     sets = [shingles(t) for t in texts]
     links = []
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 links.append((a, b))
     root = roots(range(len(sets)), links)
     return sorted((k, len(s), root[k], root[k] == k) for k, s in enumerate(sets))
@@ -100,6 +100,29 @@ def test_near_duplicates_odd_ids(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_rows_of_a_hot_group(spark, monkeypatch):
+    """Near copies of one text share large buckets; those with several edits of their own can have no link, so that no block sees them."""
+    copied = []
+
+    def counted(*args, blocks=minhash._blocks):
+        made = blocks(*args)
+        copied.append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "_blocks", counted)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = []
+    for _ in range(500):
+        w = list(base)
+        for k in rng.choice([(), (30,), (15, 45), (10, 30, 50)]):
+            w[k + rng.randrange(5)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = rows(near_duplicates(table(spark, texts), settings=MinHashSettings(block=128, percent=80, agree=50)))
+    assert got == sorted(brute_near(texts, 80), key=repr)
+    assert sum(copied) <= 500, copied
+
+
 # ---- fingerprints ----------------------------------------------------------------------------------------------------
 
 
@@ -308,6 +331,14 @@ def test_line_dedup(spark):
     assert dedupe_lines(table(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_very_long_document(spark):
+    """Work is in proportion to the lines, however many of them go."""
+    many = 300_000
+    docs = spark.createDataFrame([(1, "one and the same line, again and again\n" * many + "the end of it all"), (2, "the end of it all\nanother line")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedupe_lines(docs).collect()}
+    assert got == {1: ("one and the same line, again and again\nthe end of it all", many + 1, many - 1), 2: ("another line", 2, 1)}
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------
 
 
