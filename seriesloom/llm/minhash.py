@@ -125,8 +125,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass over the texts makes set key, size and band keys. Documents with one and the same set become one class.
     2. In each bucket every class is paired with the smallest one (a pre-aggregated minimum, no pairs within the bucket), pairs are
        verified on the full sets, and components are formed.
-    3. Large buckets whose members still lie in several components are paired with their hub, the member that lies in the largest buckets, for
-       as long as that links many. An exact prefix filter on the sets then tells which members can have a link to another component at all. Those outside
+    3. Large buckets whose members still lie in several components are paired with their hub, the member that lies in the largest buckets.
+       An exact prefix filter on the sets then tells which members can have a link to another component at all. Those outside
        the hub's component are compared with all others, in blocks, a block against a block per task, which compares signatures and
        then full sets, skips what it has linked already and returns no more links than it has members. Small buckets are compared by a join.
 
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(links)
 
     # What the smallest member of a bucket has not brought together.
-    large, wide, last = _hub_rounds(held.where(F.col("size") > s.small), links, first, docs, s)
+    large, wide, last = _hub_links(held.where(F.col("size") > s.small), links, first, docs, s)
     few = _still_open(held.where((F.col("size") > 2) & (F.col("size") <= s.small)), last).select("key", "rep", "n", "component", "low")
     few = materialize(few)
     x, y = few.alias("x"), few.alias("y")
@@ -187,31 +187,23 @@ def _hub() -> Column:
     return F.max_by(F.struct("rep", "n", "component"), F.struct("weight", "rep"))
 
 
-def _hub_rounds(held: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, s: MinHashSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hub_links(held: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, s: MinHashSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of large buckets that still span components, all links, all components.
 
-    Each round pairs the members of a bucket with its hub, from the second round on with the hub of what lies outside the first one's component. Rounds go
-    on while they link an eighth of the members outside; this decides on the way only, as every pair that is left is looked at afterwards.
+    The members of a bucket are paired with its hub, once; what is left is looked at afterwards.
     """
     large = materialize(_still_open(held, found))
     if large.isEmpty():
         return large, links, found
     large = materialize(large.join(large.groupBy("rep").agg(F.sum("size").alias("weight")), "rep"))
     hubs = large.groupBy("key").agg(_hub().alias("hub"))
-    while True:
-        met = large.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
-        pairs = met.where(_fits(s, "n", "hub.n")).select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct()
-        new = materialize(_verified(pairs, docs, s))
-        linked, outside = new.count(), met.select("rep").distinct().count()
-        if not linked:
-            return large, links, found
-        links = materialize(links.union(new))
-        found = components(links)
-        large = materialize(_still_open(large.drop("component"), found))
-        if 8 * linked < outside:
-            return large, links, found
-        first = large.groupBy("key").agg(_hub().alias("hub")).select("key", F.col("hub.component").alias("inside"))
-        hubs = large.join(first, "key").where("component <> inside").groupBy("key").agg(_hub().alias("hub"))
+    met = large.join(hubs, "key").where(F.col("component") != F.col("hub.component")).where(_fits(s, "n", "hub.n"))
+    new = materialize(_verified(met.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct(), docs, s))
+    if new.isEmpty():
+        return large, links, found
+    links = materialize(links.union(new))
+    found = components(links)
+    return materialize(_still_open(large.drop("component"), found)), links, found
 
 
 _SLOTS = 20
