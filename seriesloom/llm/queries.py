@@ -160,7 +160,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = personal_data(_table(spark, sf, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    kinds = F.transform("base", lambda s: s["kind"])  # a second parameter of a lambda would be the place in the array
+    counts = [F.size(F.filter(kinds, lambda kind: kind == F.lit(KINDS.index(name)))).cast("long").alias(f"n_{name}") for name in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 

@@ -412,6 +412,18 @@ def test_personal_data(spark):
     assert personal_data(docs.limit(0)).count() == 0
 
 
+def test_personal_data_counts_by_kind(spark, tmp_path):
+    from seriesloom.llm.queries import QUERIES
+
+    texts = ["a@b.c", "1.2.3.4", "4111111111111111 and +1 (543) 555-9258", "x@y.z u@v.w 1.2.3.4 4111111111111111 +1 543 555 9258", "+49 151 2345678 a@b.c", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_personal_data"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        base = brute_base(t or "")
+        assert [got[k][f"n_{kind}"] for kind in KINDS[:4]] == [sum(s[0] == kind for s in base) for kind in KINDS[:4]], t
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest(), t
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 
