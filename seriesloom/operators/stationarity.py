@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from seriesloom.functions.linalg import gram, least_squares, square
+from seriesloom.functions.linalg import least_squares, square, sum_arrays
 from seriesloom.operators.index import BLK, BLOCK_ROWS, IDX, LEN, OWN, block_window, halo_blocks, order_series
 from seriesloom.operators.joins import attach, keyed_join, series_join
 from seriesloom.operators.profile import present
@@ -23,6 +26,8 @@ ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 # Level table of Kwiatkowski, Phillips, Schmidt and Shin (1992).
 KPSS_CRIT = (0.347, 0.463, 0.574, 0.739)
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
+#: Lagged rows that a task holds at a time.
+LAGGED_BYTES = 4 << 20
 
 
 def adf_pvalue(stat: float) -> float:
@@ -45,6 +50,33 @@ def _unit_scaled(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, SeriesSpec
     return out, SeriesSpec(ts=spec.ts, y="_z", group=spec.group, tie=spec.tie)
 
 
+def _block_grams(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per block the matrix of sums of its own rows (``gram``, a flat upper triangle) and their number ``n``.
+
+    The lags are made inside the task, a run of rows at a time, so that one value per row is shuffled and sent to Python, however many lags a long series has.
+    """
+    schema = T.StructType([*[blocks.schema[c] for c in by], T.StructField("gram", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.sort_by(IDX)
+        at, own, y = (table[c].to_numpy() for c in (IDX, OWN, "_z"))
+        limit = table["_L"][0].as_py()
+        used = np.flatnonzero(own & (at > limit))
+        total = np.zeros((limit + 3, limit + 3))
+        if used.size:
+            steps = sliding_window_view(np.diff(y), limit + 1)[:, ::-1]
+            size = max(LAGGED_BYTES // total[0].nbytes, 1)
+            for lo in range(used[0], used[-1] + 1, size):
+                t = slice(lo - 1, min(lo + size, used[-1] + 1) - 1)
+                z = np.column_stack([np.ones(t.stop - t.start), y[t], steps[t.start - limit : t.stop - limit]])
+                total += z.T @ z
+        one = 1 if used.size else 0
+        made = [pa.array([total[np.triu_indices(limit + 3)]][:one], pa.list_(pa.float64())), pa.array([used.size][:one], pa.int64())]
+        return pa.Table.from_arrays([*[table[c].slice(0, one) for c in by], *made], names=schema.names)
+
+    return blocks.select(*by, BLK, IDX, OWN, "_L", "_z").groupBy(*by, BLK).applyInArrow(sums, schema)
+
+
 def stationarity_adf(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Augmented Dickey-Fuller test with constant, lag order by AIC.
 
@@ -58,16 +90,7 @@ def stationarity_adf(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     sizes = rows.groupBy(*spec.by).agg(F.max(LEN).alias("n"), F.max("_L").alias("_L"))
     top = int(sizes.agg(F.coalesce(F.max("_L"), F.lit(0))).first()[0])
     blocks = halo_blocks(rows, back=top + 1)
-    w = block_window(spec.by)
-    lagged = blocks.select(*spec.by, IDX, OWN, "_L", "_z", *[F.lag("_z", k).over(w).alias(f"_l{k}") for k in range(1, top + 2)])
-    used = lagged.filter(F.col(OWN) & (F.col(IDX) >= F.col("_L") + 1))
-    chain = ["_z", *[f"_l{k}" for k in range(1, top + 2)]]
-    design = used.select(
-        *spec.by, (F.col("_L") + 3).alias("_width"), F.lit(1.0).alias("_one"), F.col("_l1").alias("_lev"),
-        *[F.coalesce(F.col(chain[k]) - F.col(chain[k + 1]), F.lit(0.0)).alias(f"_d{k}") for k in range(0, top + 1)],
-    )
-    inputs = ["_one", "_lev", *[f"_d{k}" for k in range(0, top + 1)]]
-    sums = gram(design, spec.by, inputs, width="_width").withColumnRenamed("n", "_rows")
+    sums = sum_arrays(_block_grams(blocks, spec.by), spec.by, ["gram"], ["n"]).withColumnRenamed("n", "_rows")
     head = rows.filter(F.col(IDX) <= F.col("_L")).groupBy(*spec.by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(IDX, "_z"))), lambda s: s["_z"]).alias("_head")
     )

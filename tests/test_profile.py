@@ -131,3 +131,20 @@ def test_hourly_frequency(spark):
     df = series(spark, {"h": range(50)}, dt.timedelta(hours=1))
     assert profile.date_range_freq(df, SPEC).first()["frequency"] == "H"
     assert by_group(df, "y")["h"].shape == (50, 1)
+
+
+def test_adf_sends_no_lags(spark, monkeypatch):
+    """One value per row is shuffled and sent, whatever the lag order, and blocks give the sums of the whole series."""
+    from seriesloom.operators import index, stationarity
+
+    groups = {"long": noise(900, 5, 0.6), "walk": np.cumsum(noise(400, 6)), "short": noise(12, 7), "one": [1.0]}
+    df = series(spark, groups)
+    whole = {r["grp"]: r for r in stationarity.stationarity_adf(df, SPEC).collect()}
+    monkeypatch.setattr(index, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(stationarity, "LAGGED_BYTES", 1000)
+    res = stationarity.stationarity_adf(df, SPEC)
+    assert "lag(" not in res._jdf.queryExecution().analyzed().toString()
+    for r in res.collect():
+        w = whole[r["grp"]]
+        assert r["adf_lags"] == w["adf_lags"] and r["adf_stationary"] == w["adf_stationary"]
+        assert abs(r["adf_stat"] - w["adf_stat"]) < 1e-8
