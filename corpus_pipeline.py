@@ -60,7 +60,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document that is left."""
-    both = bpe_decode(bpe_encode(docs, TOKENIZER), TOKENIZER)
+    # Written in between: a task that encodes and decodes at once keeps two Python workers, and idle ones hold their memory in the stages that follow.
+    both = bpe_decode(materialize(bpe_encode(docs, TOKENIZER), "zstd"), TOKENIZER)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from seriesloom.llm.graph import components
 from seriesloom.llm.words import mix, shingle_sets, short_batches, text_slices
+from seriesloom.operators.joins import keyed_join
 from seriesloom.session import materialize
 
 
@@ -96,7 +97,9 @@ def _profile(docs: DataFrame, s: MinHashSettings) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Texts are joined by equality, so hot documents can be split."""
+    """The pairs (a, b) whose full shingle sets are similar enough. Texts are joined by equality, so hot documents can be split; only texts of these pairs are shuffled."""
+    pairs = materialize(pairs)
+    docs = keyed_join(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "inner")
     sides = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
         docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
     ).select("a", "b", "ta", "tb")

@@ -427,6 +427,25 @@ def test_personal_data_counts_by_kind(spark, tmp_path):
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_has_one_python_operator_a_task(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "some words", "en", "x", 10), (2, None, "en", "x", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.tokens(spark, docs, SF)
+    assert out._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.n_tokens > 0 for r in out.collect()} == {1: True, 2: False}
+
+
+def test_links_are_confirmed_on_their_own_texts_only(spark):
+    from seriesloom.llm.minhash import MinHashSettings, _verified
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d e f", "a b c d e f", "u v w x y z", "p q r s t u"])], "id long, text string")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (2, 0)], "a long, b long")
+    out = _verified(pairs, docs, MinHashSettings())
+    assert out._jdf.queryExecution().analyzed().toString().count("_jk_id") > 0
+    assert [tuple(r) for r in out.collect()] == [(1, 0)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
