@@ -26,6 +26,9 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _TERM[_low:_high] = np.arange(_low, _high)
 _TERM[0x41:0x5B] += 32
 
+#: A cell is megabytes long: every one is a page of its own, few share a row group, and none is kept as a bound, so that neither writer nor reader holds many at once.
+_CELL_TABLE = {"parquet.page.row.count.limit": "1", "parquet.block.row.count.limit": "8", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+
 
 @dataclass(frozen=True)
 class RankSettings:
@@ -55,7 +58,7 @@ def count_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 19):
                 terms, first = term_hashes(data, offsets)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
                 by = np.lexsort((terms, row))
@@ -213,7 +216,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush()
 
     with batch_bytes(docs.sparkSession):
-        return materialize(sorted_docs.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary"), "zstd"), n_docs
+        return materialize(sorted_docs.select("doc_id", "n_terms", "m", "terms", "tfs").mapInArrow(run, "payload binary"), "zstd", **_CELL_TABLE), n_docs
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, s: RankSettings) -> Iterator[list[tuple[int | None, np.ndarray]]]:
@@ -235,7 +238,7 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = 50, item_co
     """item_id, rank (from 1), doc_id, score: the k best documents of every item with a score above 0, ties by ascending id (NULL last).
 
     Items are taken in blocks, whose terms go to the tasks with the task code (two passes over the index per block: document frequencies, then scores). A task keeps the k best of
-    each item over all the cells it reads and gives those out, so the merge gets k rows per item and task. Rows that share an item id, NULL included, make one item with
+    each item over all the cells it reads and gives those out, so the merge gets k rows per item and task, and only the k best are written. Rows that share an item id, NULL included, make one item with
     the terms of all of them; an item without terms has no result.
     """
     s = settings
@@ -261,17 +264,17 @@ def _search_block(index: DataFrame, n_docs: int, block: list[tuple[int | None, n
 
     counted = index.mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
     df = np.zeros(vocabulary.size, np.int64)
-    with batch_bytes(spark):
+    with batch_bytes(spark, rows=1):
         for t, n in counted.collect():  # one row per term of the block
             df[t] = n
     weight = np.array([floor(1000 * log((2 * n_docs + 2) / (2 * n + 1))) if n else 0 for n in df.tolist()], np.int64)
     wanted = []
-    for _, terms in block:
+    for i, terms in block:
         at = np.searchsorted(vocabulary, terms)
         at = at[weight[at] > 0]
-        wanted.append((vocabulary[at], weight[at]))
+        wanted.append((i, vocabulary[at], weight[at]))
     items = spark.sparkContext.broadcast(wanted)
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("item", "doc_id", "score")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "doc_id", "score")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -279,20 +282,18 @@ def _search_block(index: DataFrame, n_docs: int, block: list[tuple[int | None, n
         for batch in batches:
             for payload in batch.column(0):
                 cell = Cell(payload.as_py())
-                for j, (terms, weights) in enumerate(items.value):
+                for j, (_, terms, weights) in enumerate(items.value):
                     ids, scores, known, least = best[j]
                     docs, more = cell.top(terms, weights, k, least, s)
                     if docs.size:
                         ids, scores, known = np.concatenate([ids, cell.ids[docs]]), np.concatenate([scores, more]), np.concatenate([known, cell.known[docs]])
                         keep, scores, least = best_of(np.arange(ids.size), scores, ids, known, k, least)
                         best[j] = [ids[keep], scores, known[keep], least]
-        for j, (ids, scores, known, _) in enumerate(best):
+        for (i, *_), (ids, scores, known, _) in zip(items.value, best):
             if ids.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(ids.size, j)), pa.array(ids, mask=~known), pa.array(scores)], names=schema.names)
-
-    with batch_bytes(spark):
-        parts = materialize(index.mapInArrow(score, schema))
-    place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    ranked = parts.withColumn("rank", place).where(F.col("rank") <= k)
-    names = spark.createDataFrame([(j, i) for j, (i, _) in enumerate(block)], "item long, item_id long")
-    return ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+                yield pa.RecordBatch.from_arrays([pa.array([i] * ids.size, pa.int64()), pa.array(ids, mask=~known), pa.array(scores)], names=schema.names)
+
+    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    ranked = index.mapInArrow(score, schema).withColumn("rank", place).where(F.col("rank") <= k)
+    with batch_bytes(spark, rows=1):
+        return materialize(ranked.select("item_id", "rank", "doc_id", "score"))

@@ -66,15 +66,17 @@ def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 @contextmanager
-def batch_bytes(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Within this block, jobs send Arrow batches of at most ``size`` bytes (a longer row makes one of its own); the session's own limit returns after it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
+def batch_bytes(spark: SparkSession, size: int = 4 << 20, rows: int = 512) -> Iterator[None]:
+    """Within this block, jobs send Arrow batches of at most ``size`` bytes (a longer row makes one of its own) and read Parquet by ``rows`` rows; the session's own limits return after it."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": rows}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def text_slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -39,21 +39,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
-def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and go on from there.
 
     Used where two branches of a plan must see the very same rows (range
     partitions, fitted statistics), and to survive the loss of executors. A Parquet
     table is smaller than a checkpoint of rows, later scans read only the columns they
     need, and its size is known to the planner. ``compression`` is Parquet's; zstd keeps less
-    memory outside the heap than the usual codec where rows hold megabytes.
+    memory outside the heap than the usual codec where rows hold megabytes. ``options`` are the writer's.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     seen = Observation()
     size = F.coalesce(F.sum(_row_bytes(df)), F.lit(0).cast("long"))
-    df.observe(seen, size.alias("bytes")).write.parquet(path, compression=compression)
+    df.observe(seen, size.alias("bytes")).write.options(**options).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_bytes = int(seen.get["bytes"])
     return out

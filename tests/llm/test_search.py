@@ -138,6 +138,31 @@ def test_ranking_equals_brute_force(spark):
     assert zero == 0 and ranked.search(empty, zero, asked).count() == 0
 
 
+def test_few_cells_are_held_at_once(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    limits = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(key) for key in limits]
+    read, write = [], ranked.materialize
+
+    def noted(df, *args, **options):
+        read.append(spark.conf.get(limits[0]))
+        return write(df, *args, **options)
+
+    monkeypatch.setattr(ranked, "materialize", noted)
+    docs = [(i, f"alpha w{i % 7} w{i % 11}") for i in range(400)]
+    s = RankSettings(cell_postings=30)
+    index, n = ranked.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), settings=s)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == index.count() > 30
+    assert max(g.num_rows for g in groups) <= 8 and not any(g.column(0).is_stats_set for g in groups)
+    read.clear()
+    got = ranked.search(index, n, spark.createDataFrame([(1, "alpha w3"), (None, "w5")], "item_id long, text string"), 5, settings=s)
+    assert read[-1] == "1" and [spark.conf.get(key) for key in limits] == before
+    assert got.inputFiles() and sorted(map(tuple, got.collect()), key=repr) == ranking(docs, [(1, "alpha w3"), (None, "w5")], 5)
+
+
 def test_strata_are_left_out_by_their_bounds():
     n = 4000
     rng = np.random.default_rng(1)
