@@ -105,3 +105,19 @@ def test_written_statistics_are_not_written_again(spark):
     out = joins.attach(series(spark, {"a": range(3), "b": [1.0]}), stats, ["grp"])
     assert sorted((r["grp"], r["k"]) for r in out.collect()) == [("a", 1)] * 3 + [("b", None)]
     assert SPEC.by == ["grp"]
+
+
+def test_eval_summary_sums_the_training_time(spark, tmp_path):
+    days, hours = {"1-URGENT": 40, "5-LOW": 23}, {"click": 31}
+    orders = [(f"{i:03}", g, 100.0 + i % 9 + len(g)) for g, n in days.items() for i in range(n)]
+    spark.createDataFrame(orders, "d string, o_orderpriority string, o_totalprice double").selectExpr("date_add(date'2024-01-01', int(d)) o_orderdate", "*").write.parquet(str(tmp_path / "orders.parquet"))
+    events = [(i, g, float(i % 5)) for g, n in hours.items() for i in range(n)]
+    spark.createDataFrame(events, "h int, event_type string, value double").selectExpr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h) ts", "*").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["eval_summary"](spark, str(tmp_path)).first()
+    test_rows = sum(n - math.floor(n * 0.7) - math.floor(n * 0.15) for n in (days | hours).values())
+    assert got["total_training_time"] == test_rows * (len("naive") + len("seasonal_naive")) and got["timed"]
+    con = duckdb.connect()
+    for t in ("orders", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(catalog.SQL["eval_summary"]).df()
+    assert {c: got[c] for c in got.asDict()} == pytest.approx(want.iloc[0].to_dict()) and got["total_models"] == 6
